@@ -52,9 +52,10 @@ def paths(messages: DataFrame) -> DataFrame:
             break
         links.append(longer)
     found = leaves.select("conv", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("steps"))
-    for k in reversed(range(len(links))):
-        more = found.join(links[k], ["conv", "node"]).select("conv", "leaf", F.col("up").alias("node"), (F.col("steps") + (1 << k)).alias("steps"))
-        found = checkpointed(found.unionByName(more)) if k % 3 == 0 else found.unionByName(more)
+    for k in reversed(range(len(links))):  # a row stays and, where a link leads on, gives a second one
+        at, far = F.struct("node", "steps"), F.struct(F.col("up").alias("node"), (F.col("steps") + (1 << k)).alias("steps"))
+        found = found.join(links[k], ["conv", "node"], "left").select("conv", "leaf", F.inline(F.when(F.col("up").isNull(), F.array(at)).otherwise(F.array(at, far))))
+        found = checkpointed(found) if k % 3 == 0 else found
     return found
 
 
