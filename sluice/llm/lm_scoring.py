@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ SHORTLIST, PAIRED, ORDER = 1 << 18, 1 << 11, 4
 BIGRAM = 0.3
 #: Counts are quantised to powers of two; each level of an n-gram is a member of the filter.
 BITS, HASHES, BLOCKS, LEVELS = 12, 3, 64, 48
+#: Levels of a count in an octave, where the list of words may end.
+LEVEL_STEPS = 8
 END = b" "
 #: Letters of a spelled word: 0 its end, a-z, stop, comma, the lead byte of Latin letters, digits, second bytes of the
 #: commonest of these letters, other bytes.
@@ -38,6 +41,16 @@ _WITHIN[_LETTER == LETTERS - 1] = -np.log10((_LETTER == LETTERS - 1).sum())
 _MARK = 10  # a byte that no word holds stands between spelled words
 
 
+def parts(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts have most bytes together, or are one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     w = text.lower().split() if text else []
     w.append(END)
@@ -85,8 +98,11 @@ class LogFrequencyFilter:
                 np.bitwise_or.at(bits, (s >> np.uint64(3)).astype(np.int64), (1 << (s & np.uint64(7))).astype(np.uint8))
         return bits
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Expected counts (0 for an n-gram that isn't in the filter)."""
+    def counts(self, keys: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+        """Expected counts (0 for an n-gram that isn't in the filter), probed step keys at a time."""
+        return np.concatenate([self._counts(keys[a : a + step]) for a in range(0, len(keys), step)] or [np.zeros(0)])
+
+    def _counts(self, keys: np.ndarray) -> np.ndarray:
         level = np.zeros(len(keys), np.int64)
         alive = np.arange(len(keys))
         block = self.block_of(keys)
@@ -132,13 +148,15 @@ class Model:
         for a in range(0, side, 64):
             codes = np.arange(a, min(side, a + 64))[:, None] * side + np.arange(side)
             self.after[a : a + 64] = self.filter.counts(key(PAIR, codes.ravel())).reshape(codes.shape).sum(1)
-        p = np.full(LETTERS, 1 / LETTERS)
+        p = np.full((1, LETTERS), 1 / LETTERS)
         for k in range(1, ORDER + 1):
-            g = self.filter.counts(key(SPELL + k, np.arange(LETTERS**k))).reshape(-1, LETTERS)
-            lower = p.reshape(-1, LETTERS) if k == 1 else np.tile(p.reshape(-1, LETTERS), (LETTERS, 1))
-            kinds = (g > 0).sum(1, keepdims=True) + 1  # Witten and Bell: as much for what is new as there are kinds
-            p = (g + kinds * lower) / (g.sum(1, keepdims=True) + kinds)
-        self.letter = np.log10(p).ravel().astype(np.float32)
+            lower, p = p, np.empty((LETTERS ** (k - 1), LETTERS), np.float32)
+            for a in range(0, len(p), 4096):
+                row = np.arange(a, min(len(p), a + 4096))
+                g = self.filter.counts(key(SPELL + k, row[:, None] * LETTERS + np.arange(LETTERS)).ravel()).reshape(-1, LETTERS)
+                kinds = (g > 0).sum(1, keepdims=True) + 1  # Witten and Bell: as much for what is new as there are kinds
+                p[row] = (g + kinds * lower[row % len(lower)]) / (g.sum(1, keepdims=True) + kinds)
+        self.letter = np.log10(p).ravel()
 
     def spelled(self, words: list[bytes]) -> np.ndarray:
         """log10 of the chance of each word's letters and its end."""
@@ -298,15 +316,23 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     train = d.filter("NOT held_out")
     counts = checkpointed(count_words(train))
     n, v, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).first()
-    top = counts.orderBy(F.expr("if(word = X'20', 0, 1)"), F.desc("c"), "word").limit(SHORTLIST).collect()  # SHORTLIST rows at most
-    words, exact = [bytes(r["word"]) for r in top] or [END], [r["c"] for r in top] or [0]
-    least = (exact[-1], words[-1]) if len(exact) > 1 else (0, END)
-    beyond = v > len(exact)
-    rare = counts.filter((F.col("c") < least[0]) | ((F.col("c") == least[0]) & (F.col("word") > F.lit(bytearray(least[1]))))).filter("word <> X'20'") if beyond else counts.limit(0)
+    # The list ends between two of the counts' levels, so no sort of all words is needed to find it.
+    level, is_end = F.floor(F.log2("c") * LEVEL_STEPS), F.col("word") == F.lit(bytearray(END))
+    lowest, listed = None, 0
+    for at, size in sorted(((r["at"], r["count"]) for r in counts.groupBy(level.alias("at")).count().collect()), reverse=True):  # 64 * LEVEL_STEPS rows at most
+        listed += size
+        if listed > SHORTLIST:
+            break
+        lowest = at
+    often = (level >= lowest) | is_end if lowest is not None else is_end
+    top = counts.filter(often).toArrow()  # SHORTLIST rows at most, and the end
+    top = sorted(zip(top["word"].to_pylist(), top["c"].to_pylist()), key=lambda r: (r[0] != END, -r[1], r[0])) or [(END, 0)]
+    words, exact = [r[0] for r in top], [r[1] for r in top]
+    rare = counts.filter(~often)
     # What isn't listed, and by Good and Turing as much for new words as there are words of one occurrence,
     # which is also taken for the number of the new words.
     unlisted, others = n - sum(exact) + once, v - len(exact) + once
-    listed = spark.createDataFrame(pa.table({"kind": pa.array([WORD] * (len(words) + 1), pa.int32()), "code": pa.array(range(len(words) + 1), pa.int64()), "n": pa.array([*exact, unlisted], pa.int64())}).to_pandas()).filter("n > 0")
+    listed = spark.createDataFrame(pa.table({"kind": pa.array([WORD] * (len(words) + 1), pa.int32()), "code": pa.array(range(len(words) + 1), pa.int64()), "n": pa.array([*exact, unlisted], pa.int64())})).filter("n > 0")
     ngrams = listed.select(F.col("kind").cast("int"), "code", "n").unionByName(_pairs(train, words).select(F.lit(PAIR).alias("kind"), "code", "n")).unionByName(_letters(counts))
     shared = _Shared(spark.sparkContext.broadcast((words, build_filter(ngrams), max(1, others), exact, n, v)), uuid.uuid4().hex)
 
@@ -315,7 +341,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         base = np.log10((np.append(exact, 0) + 1) / (n + v + 1))
         get, far = model.id.get, model.rare
         seen = np.append(np.array(exact) > 0, False)
-        for b in batches:
+        for b in (x for batch in batches for x in parts(batch, 3)):
             each = [words_of(t) for t in b.column(3).to_pylist()]
             size = np.array([len(w) for w in each], np.int64)
             flat = [w for ws in each for w in ws]
