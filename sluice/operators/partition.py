@@ -99,7 +99,7 @@ def improve(n: int, parts: int, first: np.ndarray, to: np.ndarray, weight: np.nd
                     best, gain = p, delta
             if best != here:
                 for u, k in links.items():
-                    foreign[u] += k * ((part[u] == here) - int(part[u] == best))
+                    foreign[u] += k * (int(part[u] == here) - int(part[u] == best))
                 foreign[v] = len(nb) - arcs_to[best]
                 part[v] = best
                 size[here] -= 1
