@@ -93,7 +93,7 @@ def improve(n: int, parts: int, first: np.ndarray, to: np.ndarray, weight: np.nd
             for p in arcs_to:
                 if p == here or size[p] >= most:
                     continue
-                delta = load[here] - load[p] + ((len(nb) > arcs_to[p]) - (foreign[v] > 0)) + lost
+                delta = load[here] - load[p] + int(len(nb) > arcs_to[p]) - int(foreign[v] > 0) + lost
                 delta -= sum(1 for u, k in links.items() if part[u] == p and foreign[u] == k)
                 if delta < gain:
                     best, gain = p, delta

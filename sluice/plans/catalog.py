@@ -1,13 +1,11 @@
 """Every query of the library by name, with its SQL where DuckDB can express it."""
-from sluice.plans.networks import *
-from sluice.operators.solve import *
+
+from sluice.plans import cuts, duals, graphs
+
+
 def queries():
-    def a(spark,d):
-        return min_cut_many(nation_networks(spark,d)).select("inst","cut_value","max_flow")
-    def b(spark,d):
-        return min_cut_many(order_chains(spark,d)).agg(F.sum("cut_value"),F.count("*"),F.sum(F.aggregate("labels",F.lit(0),lambda x,y:F.greatest(x,y))), F.sum(F.col("cut_value")-F.col("max_flow")))
-    def c(spark,d):
-        return min_cut_many(supply_network(spark,d),True).select("cut_value","max_flow",F.size("nodes"),F.size("flows"), F.aggregate("labels",F.lit(0),lambda x,y:x+y))
-    return dict(a=a,b=b,c=c)
+    return cuts.QUERIES | graphs.QUERIES | duals.QUERIES
+
+
 def oracle_sql():
-    return {}
+    return cuts.SQL | graphs.SQL | duals.SQL

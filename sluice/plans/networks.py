@@ -35,24 +35,21 @@ def order_chains(spark: SparkSession, sf_dir: str) -> FlowNetwork:
     sign = F.when(F.col("l_returnflag") == "A", 5).when(F.col("l_returnflag") == "N", -5).otherwise(0)
     term = item.groupBy(F.col("l_orderkey").cast("long").alias("inst"), (F.col("l_linenumber") - 1).cast("long").alias("node")).agg(F.sum("l_quantity").cast("long").alias("qty"), F.sum(sign).cast("long").alias("tcap"))
     w = W.partitionBy("inst").orderBy("node")
-    chain = term.select("inst", F.col("node").alias("src"), F.lead("node").over(w).alias("dst"), F.expr("1").alias("_"), "qty", F.lead("qty").over(w).alias("nq")).filter("dst IS NOT NULL")
+    chain = term.select("inst", F.col("node").alias("src"), F.lead("node").over(w).alias("dst"), "qty", F.lead("qty").over(w).alias("nq")).filter("dst IS NOT NULL")
     arcs = chain.select("inst", "src", "dst", F.expr("1 + (qty + nq) div 10").alias("cap"), F.expr("1 + (qty + nq) div 10").alias("rcap"))
     return FlowNetwork(arcs, term.select("inst", "node", "tcap"), n_nodes=7, keys=("inst",))
 
 
-def supply_network(spark: SparkSession, sf_dir: str, limit: int | None = None) -> FlowNetwork:
+def supply_network(spark: SparkSession, sf_dir: str) -> FlowNetwork:
     """One network: suppliers (even nodes) and parts (odd nodes), an arc for each pair that trades.
 
-    Suppliers with a good balance are sources, dear parts are sinks. limit takes the parts below a key,
-    for runs that are checked in full by another method.
+    Suppliers with a good balance and cheap parts are sources, the others sinks. The ids of nodes have gaps.
     """
     item = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_quantity")
     supplier, part = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "part")
-    if limit is not None:
-        item, part = item.filter(F.col("l_partkey") < limit), part.filter(F.col("p_partkey") < limit)
-    arcs = item.groupBy((F.col("l_suppkey") * 2).cast("long").alias("src"), (F.col("l_partkey") * 2 + 1).cast("long").alias("dst")).agg(F.sum("l_quantity").cast("long").alias("cap"), F.count("*").alias("rcap"))
-    s = supplier.select((F.col("s_suppkey") * 2).cast("long").alias("node"), F.floor(F.col("s_acctbal") / 10).cast("long").alias("tcap"))
-    p = part.select((F.col("p_partkey") * 2 + 1).cast("long").alias("node"), (90 - F.floor(F.col("p_retailprice") / 10)).cast("long").alias("tcap"))
+    arcs = item.groupBy((F.col("l_suppkey") * 2).cast("long").alias("src"), (F.col("l_partkey") * 2 + 1).cast("long").alias("dst")).agg(F.expr("cast(sum(l_quantity) as bigint) div 10").alias("cap"), F.count("*").alias("rcap"))
+    s = supplier.select((F.col("s_suppkey") * 2).cast("long").alias("node"), F.floor((F.col("s_acctbal") - 4500) / 10).cast("long").alias("tcap"))
+    p = part.select((F.col("p_partkey") * 2 + 1).cast("long").alias("node"), (950 - F.floor("p_retailprice")).cast("long").alias("tcap"))
     return FlowNetwork(arcs, s.unionByName(p))
 
 
