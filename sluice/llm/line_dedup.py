@@ -47,8 +47,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", div
 
     Of equal eligible chunks the one in the smallest (id, text hash, chunk number) stays, also within
     a document. Chunks with equal hashes are compared by their bytes before one goes. Hash counts are
-    pre-aggregated; the texts of candidates alone are shuffled, and the join that compares them has
-    one row for each text on its other side, so that Spark may split a hot chunk. Rows with equal id
+    pre-aggregated; the texts of candidates alone are compared, by a grouping that is aggregated before
+    its shuffle, and what stays is taken off by its place and not by its text, so no hot chunk meets in a task. Rows with equal id
     and text are one document and are treated alike. A null text stays null with 0 of everything; an
     empty text is one empty line. Blank lines belong to chunks as any other. Further columns of docs
     stay as they are; those named like the added columns are replaced.
@@ -61,8 +61,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", div
     twice = each.groupBy("_h").agg(F.count("*").alias("_n")).filter("_n > 1")
     buckets = twice.select(F.pmod("_h", F.lit(BUCKETS)).alias("_bucket")).distinct()  # BUCKETS rows at most
     candidates = each.withColumn("_bucket", F.pmod("_h", F.lit(BUCKETS))).join(F.broadcast(buckets), "_bucket", "left_semi")
-    first = candidates.groupBy("_h", "_chunk").agg(F.min(F.struct("_id", "_th", "_no")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    gone = candidates.join(first, ["_h", "_chunk"]).filter("NOT (_id <=> _first._id AND _th = _first._th AND _no = _first._no)")
+    stays = candidates.groupBy("_h", "_chunk").agg(F.min(F.struct("_id", "_th", "_no")).alias("_s")).select(F.col("_s._id").alias("_sid"), F.col("_s._th").alias("_sth"), F.col("_s._no").alias("_sno"))
+    gone = candidates.select("_id", "_th", "_no").join(stays, F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_th") == F.col("_sth")) & (F.col("_no") == F.col("_sno")), "left_anti")
     gone = gone.groupBy(F.col("_id").alias("_gid"), F.col("_th").alias("_gth")).agg(F.collect_set("_no").alias("_gone"))
     out = d.withColumn("_id", F.col(doc_id)).withColumn("_th", F.xxhash64(text))
     out = out.join(gone, out["_id"].eqNullSafe(gone["_gid"]) & (out["_th"] == gone["_gth"]), "left").drop("_gid", "_gth", "_id", "_th")
