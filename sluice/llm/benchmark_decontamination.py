@@ -219,7 +219,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     if blocks > 1:
         for p in parts[1:]:
             out = out.unionByName(p)
-        pairs = F.transform(F.sequence(F.lit(0), F.size("spans") / 2 - 1), lambda i: F.struct(F.get("spans", (2 * i).cast("int")).alias("a"), F.get("spans", (2 * i + 1).cast("int")).alias("b")))
+        pairs = F.transform(F.sequence(F.lit(0), F.expr("cast(size(spans) div 2 - 1 as int)")), lambda i: F.struct(F.get("spans", 2 * i).alias("a"), F.get("spans", 2 * i + 1).alias("b")))
         out = out.select("row_id", "doc_id", "n_words", "items", F.when(F.size("spans") > 0, pairs).otherwise(F.array().cast("array<struct<a:int,b:int>>")).alias("spans"))
         out = out.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
         hit = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda a, s: F.struct((a.n + F.greatest(s.b - F.greatest(s.a, a.end), F.lit(0))).alias("n"), F.greatest(a.end, s.b).alias("end")), lambda a: a.n)
