@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import SPACE, computed, read
 
-#: A chunk ends where the rolling hash of two lines is divisible by this.
-DIVISOR = 3
 #: A line of so many words is a chunk of its own, and may go though it is one line.
 LONG_LINE = 50
 #: Chunk hashes are looked up by this many buckets: the broadcast set of buckets can't outgrow it.
 BUCKETS = 1 << 20
 
 
-def line_chunks(docs: DataFrame, text: Column, divisor: int = DIVISOR, long_line: int = LONG_LINE) -> DataFrame:
+def line_chunks(docs: DataFrame, text: Column, long_line: int = LONG_LINE) -> DataFrame:
     """docs with _chunks: array of (chunk: string, lines: int, eligible: boolean); joined by newlines they are the text.
 
-    A boundary stands after a line if the hash of its and its predecessor's hash is divisible by
-    divisor, and on both sides of a long line. So it depends on two lines alone, and lines put in or
-    taken out elsewhere shift no other boundary. Chunks of two lines or more, and long lines, are eligible.
+    Each line has a rolling hash, of its and its predecessor's hash. A boundary stands after a line
+    whose rolling hash is less than its two neighbours', and on both sides of a long line. So it
+    depends on four lines alone, lines put in or taken out elsewhere shift no other boundary, and
+    between two such boundaries stand two lines at least. Chunks of two lines or more, and long
+    lines, are eligible.
     """
     df = computed(docs, _lines=F.split(F.coalesce(text, F.lit("")), "\n"))
     df = computed(df, _h=F.transform("_lines", lambda s: F.xxhash64(s)), _long=F.transform("_lines", lambda s: F.regexp_count(s, F.lit(f"[^{SPACE}]+")) >= long_line))
@@ -28,9 +28,10 @@ def line_chunks(docs: DataFrame, text: Column, divisor: int = DIVISOR, long_line
     # after[i] for i = 0 .. n-2: whether a boundary stands between line i and i + 1
     one = F.lit(1)
     before = F.concat(F.array(F.lit(0).cast("long")), F.slice("_h", one, n - 1))
-    rolled = F.zip_with("_h", before, lambda h, b: F.pmod(F.xxhash64(b, h), F.lit(divisor)) == 0)
-    first = F.concat(F.array(F.lit(False)), F.slice(rolled, 2, n))  # no pair ends with line 0
-    df = computed(df, _cut=first)
+    top = F.array(F.lit((1 << 63) - 1))  # no pair ends with line 0
+    df = computed(df, _r=F.concat(top, F.slice(F.zip_with("_h", before, lambda h, b: F.xxhash64(b, h)), 2, n)))
+    df = computed(df, _low=F.zip_with("_r", F.concat(top, F.slice("_r", one, n - 1)), lambda r, p: r < p), _next=F.concat(F.slice("_r", 2, n), top))
+    df = computed(df, _cut=F.zip_with("_low", F.zip_with("_r", "_next", lambda r, q: r < q), lambda a, b: a & b))
     after = F.zip_with(F.zip_with("_cut", "_long", lambda c, l: c | l), F.slice(F.concat("_long", F.array(F.lit(False))), 2, n), lambda c, l: c | l)
     df = computed(df, _after=after)
     df = computed(df, _starts=F.filter(F.transform(F.concat(F.array(F.lit(True)), F.slice("_after", one, n - 1)), lambda b, i: F.when(b, i)), lambda i: i.isNotNull()))
@@ -39,10 +40,10 @@ def line_chunks(docs: DataFrame, text: Column, divisor: int = DIVISOR, long_line
     # One pass over the spans; _lines and _long stand still, as generated columns they aren't evaluated again.
     chunks = F.transform("_spans", lambda s: F.struct(
         F.array_join(F.slice("_lines", s.a + 1, s.n), "\n").alias("chunk"), s.n.alias("lines"), ((s.n > 1) | F.get("_long", s.a)).alias("eligible")))
-    return computed(df, _chunks=chunks).drop("_lines", "_h", "_long", "_cut", "_after", "_starts", "_spans")
+    return computed(df, _chunks=chunks).drop("_lines", "_h", "_long", "_r", "_low", "_next", "_cut", "_after", "_starts", "_spans")
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR, long_line: int = LONG_LINE) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long_line: int = LONG_LINE) -> DataFrame:
     """docs with text less its repeated chunks, n_lines, n_removed_lines, n_removed_chunks (long).
 
     Of equal eligible chunks the one in the smallest (id, text hash, chunk number) stays, also within
@@ -56,7 +57,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", div
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines", "n_removed_chunks")]
     d = docs.select(*kept)
     key = [F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_th")]
-    chunked = line_chunks(d.filter(F.col(text).isNotNull()).select(*key, F.col(text).alias("_text")), F.col("_text"), divisor, long_line)
+    chunked = line_chunks(d.filter(F.col(text).isNotNull()).select(*key, F.col(text).alias("_text")), F.col("_text"), long_line)
     each = chunked.select("_id", "_th", F.posexplode("_chunks").alias("_no", "_c")).filter("_c.eligible").select("_id", "_th", "_no", F.xxhash64("_c.chunk").alias("_h"), F.col("_c.chunk").alias("_chunk"))
     twice = each.groupBy("_h").agg(F.count("*").alias("_n")).filter("_n > 1")
     buckets = twice.select(F.pmod("_h", F.lit(BUCKETS)).alias("_bucket")).distinct()  # BUCKETS rows at most
@@ -66,7 +67,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", div
     gone = gone.groupBy(F.col("_id").alias("_gid"), F.col("_th").alias("_gth")).agg(F.collect_set("_no").alias("_gone"))
     out = d.withColumn("_id", F.col(doc_id)).withColumn("_th", F.xxhash64(text))
     out = out.join(gone, out["_id"].eqNullSafe(gone["_gid"]) & (out["_th"] == gone["_gth"]), "left").drop("_gid", "_gth", "_id", "_th")
-    whole = line_chunks(out, F.when(F.col("_gone").isNotNull(), F.col(text)), divisor, long_line)
+    whole = line_chunks(out, F.when(F.col("_gone").isNotNull(), F.col(text)), long_line)
     left = computed(whole, _left=F.filter("_chunks", lambda c, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i)))
     lines = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x.lines)
     hit = F.col("_gone").isNotNull()
