@@ -15,8 +15,17 @@ from pyspark.sql import functions as F
 from sluice.llm.common import bounded_batches, checkpointed, read
 from sluice.llm.components import connected_components
 
-#: Fingerprints of the pipeline's stage: 128 bits in four words; at a similarity of 0.8 they differ in 19 bits on average.
-STAGE_SEEDS, STAGE_SHINGLE, STAGE_BITS = (42, 43), 5, 19
+#: The pipeline's stage links texts whose sets of five-word shingles have this similarity (Jaccard) at least.
+STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
+#: Candidates share one of BANDS bands of ROWS minima each: a pair at 0.8 is missed with (1 - 0.8^5)^45 = 2e-8, one above less often.
+BANDS, ROWS = 45, 5
+
+
+def _shingles(t: bytes | None, shingle: int) -> list[bytes]:
+    w = t.lower().split() if t else []
+    if len(w) <= shingle:
+        return [b" ".join(w)] if w else []
+    return list(map(b" ".join, zip(*[w[k:] for k in range(shingle)])))
 
 
 def _simhash(texts: list[bytes | None], shingle: int, seed: int) -> np.ndarray:
@@ -24,10 +33,9 @@ def _simhash(texts: list[bytes | None], shingle: int, seed: int) -> np.ndarray:
     sizes = np.zeros(len(texts), np.int64)
     digest = partial(xxhash.xxh64_intdigest, seed=seed)
     for i, t in enumerate(texts):
-        w = t.lower().split() if t else []
-        if not w:
+        parts = _shingles(t, shingle)
+        if not parts:
             continue
-        parts = [b" ".join(w)] if len(w) <= shingle else list(map(b" ".join, zip(*[w[k:] for k in range(shingle)])))
         hashes.extend(map(digest, parts))
         sizes[i] = len(parts)
     out = np.zeros(len(texts), np.uint64)
@@ -96,27 +104,99 @@ def simhash_components(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id"
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = STAGE_SHINGLE, most_bits: int = STAGE_BITS) -> DataFrame:
+def _minima(hashes: np.ndarray) -> np.ndarray:
+    """The least value of each of BANDS * ROWS functions over 64-bit hashes."""
+    draw = np.random.default_rng(42)
+    by, plus = (draw.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) for _ in range(2))
+    h, least = hashes.astype(np.uint32), np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
+    for c in range(0, len(h), 2048):
+        np.minimum(least, (h[c : c + 2048] * (by | np.uint32(1)) + plus).min(axis=1), out=least)
+    return least
+
+
+def _bands(minima: np.ndarray) -> np.ndarray:
+    """A key for each band of each row of minima; equal bands of different places have different keys."""
+    m = minima.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), m.shape[:2]).copy()
+    for k in range(ROWS):
+        key = (key ^ m[:, :, k]) * np.uint64(0xFF51AFD7ED558CCD)
+        key ^= key >> np.uint64(33)
+    return key.view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, shingle: int = STAGE_SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, th (a 64-bit hash of the text), node (one of the set of shingles), size (of the set), bands (their keys).
+
+    Words and shingles are those of fingerprints; a text without words has an empty set and no bands.
+    """
+    bounded_batches(docs.sparkSession)
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("th"), F.col(text).cast("binary").alias("t"))
+    kinds = dict(d.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, size, least = [], [], []
+            for t in b.column(2):
+                h = np.unique(np.array(list(map(xxhash.xxh64_intdigest, _shingles(t.as_py(), shingle))), np.uint64))
+                node.append(xxhash.xxh3_64_intdigest(h.tobytes()))
+                size.append(len(h))
+                if len(h):
+                    least.append(_minima(h))
+            keys = iter(_bands(np.array(least, np.uint32)).tolist() if least else [])
+            bands = pa.array([next(keys) if n else [] for n in size], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), bands], ["doc_id", "th", "node", "size", "bands"])
+
+    return d.mapInArrow(run, f"doc_id {kinds['doc_id']}, th bigint, node bigint, size bigint, bands array<bigint>")
+
+
+def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts (node, t) have sets of shingles of the similarity at least, compared by their bytes."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = set(_shingles(x.as_py(), shingle)), set(_shingles(y.as_py(), shingle))
+                both = len(x & y)
+                linked.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """doc_id, th, copies, keep for each (doc_id, text): whether it is the one of its group that stays.
 
-    For similarities down to 0.8 a radius of two is too small for 64 bits. Here two fingerprints make
-    four 32-bit words; texts with a word within two bits (found by ball hashing) are candidates, and
-    a link is verified if the 128 bits differ in at most most_bits, the SimHash estimate of 0.8.
+    Texts are linked if their sets of shingles are similar enough; a link is verified on the sets
+    themselves. SimHash can't find the candidates: at a similarity of 0.8 128 bits differ in 19 on
+    average and often in 30, and bands so narrow that one is surely equal select nothing. So texts
+    that share a band of minima are candidates. In a bucket all are compared with the least; then all
+    of different groups with each other, so that a group of thousands of near copies takes a
+    comparison each. Texts of equal sets are one node.
     The least (doc_id, text hash) of a group stays; copies counts equal rows.
     """
-    fps = checkpointed(fingerprints(docs, shingle, STAGE_SEEDS, doc_id, text).groupBy("doc_id", "th", "f0", "f1").agg(F.count("*").alias("copies")))
-    nodes = checkpointed(fps.select("f0", "f1").distinct().withColumn("node", F.xxhash64("f0", "f1")))
-    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    four = F.array(*[F.struct(F.lit(t).alias("t"), w.alias("w")) for t, w in enumerate([low("f0"), F.shiftrightunsigned("f0", 32), low("f1"), F.shiftrightunsigned("f1", 32)])])
-    split = nodes.select("node", "f0", "f1", F.explode(four).alias("x")).select("node", "f0", "f1", "x.t", "x.w")
-    heads = checkpointed(split.groupBy("t", "w").agg(F.min(F.struct("node", "f0", "f1")).alias("head")))
-    same = split.join(heads, ["t", "w"]).filter("node <> head.node").select(F.struct("node", "f0", "f1").alias("x"), F.col("head").alias("y"))
-    near = within_two(heads.select("t", "w"), 32, "t")
-    left, right = heads.select("t", F.col("w").alias("a"), F.col("head").alias("x")), heads.select("t", F.col("w").alias("b"), F.col("head").alias("y"))
-    pairs = same.unionByName(near.join(left, ["t", "a"]).join(right, ["t", "b"]).select("x", "y"))
-    differ = F.bit_count(F.col("x.f0").bitwiseXOR(F.col("y.f0"))) + F.bit_count(F.col("x.f1").bitwiseXOR(F.col("y.f1")))
-    found = connected_components(pairs.filter(differ <= most_bits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-    labelled = fps.withColumn("node", F.xxhash64("f0", "f1")).join(found, "node", "left").select("doc_id", "th", "copies", F.coalesce("root", "node").alias("root"))
+    sets = checkpointed(shingle_sets(docs, shingle, doc_id, text))
+    fps = sets.groupBy("doc_id", "th", "node").agg(F.count("*").alias("copies"))
+    nodes = sets.groupBy("node").agg(F.min("size").alias("size"), F.first("bands").alias("bands"), F.min("th").alias("th"))
+    each = nodes.select("node", "size", F.explode("bands").alias("key"))
+    heads = each.groupBy("key").agg(F.min(F.struct("node", "size")).alias("head"), F.count("*").alias("n")).filter("n > 1")
+    members = checkpointed(each.join(heads, "key").select("key", "node", "size", "head"))
+    close = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
+    stars = checkpointed(members.filter("node <> head.node").filter(close(F.col("size"), F.col("head.size"))).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct())
+    # of the texts with one set of shingles any will do
+    wanted = members.select("node").distinct().join(nodes.select("node", "th"), "node")
+    texts = docs.select(F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("t")).join(wanted, "th").groupBy("node").agg(F.min("t").alias("t"))
+    texts = checkpointed(texts)
+    links = checkpointed(similar(stars, texts, shingle, similarity))
+    found = connected_components(links)
+    grouped = members.join(found, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    mixed = checkpointed(grouped.join(mixed, "key"))
+    x, y = (mixed.select("key", *[F.col(c).alias(c + k) for c in ("node", "size", "root")]) for k in "xy")
+    rest = x.join(y, "key").filter("nodex > nodey and rootx <> rooty").filter(close(F.col("sizex"), F.col("sizey"))).select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct()
+    found = connected_components(links.unionByName(similar(rest.join(stars, ["a", "b"], "left_anti"), texts, shingle, similarity)))
+    labelled = fps.join(found, "node", "left").select("doc_id", "th", "copies", F.coalesce("root", "node").alias("root"))
     labelled = checkpointed(labelled)
     stays = labelled.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("s")).select("s.*")
     keep = stays.withColumn("keep", F.lit(True)).withColumnRenamed("doc_id", "_i").withColumnRenamed("th", "_t")

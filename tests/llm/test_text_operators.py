@@ -174,6 +174,37 @@ def test_packing_of_odd_rows(spark):
     assert packing.pack(odd(spark).limit(0)).count() == 0
 
 
+def test_near_duplicates_at_the_threshold_are_found(spark):
+    rng = np.random.default_rng(9)
+    docs, linked, apart = [], [], []
+    for g in range(60):  # 400 words, then some changed far apart: each takes 5 of 396 shingles
+        t = [f"w{k}" for k in rng.integers(0, 5000, 400)]
+        near, far = list(t), list(t)
+        for k in range(8):
+            near[20 + 45 * k] = f"near{k}"
+        for k in range(10):
+            far[10 + 39 * k] = f"far{k}"
+        linked.append((2 * g, 2 * g + 1) if g < 40 else None)
+        docs += [(2 * g, " ".join(t)), (2 * g + 1, " ".join(near if g < 40 else far))]
+        apart += [] if g < 40 else [2 * g, 2 * g + 1]
+    sets = [set(zip(*[d[1].split()[k:] for k in range(5)])) for d in docs]
+    alike = [len(sets[2 * g] & sets[2 * g + 1]) / len(sets[2 * g] | sets[2 * g + 1]) for g in range(60)]
+    assert all(0.8 <= s < 0.83 for s in alike[:40]) and all(0.75 < s < 0.8 for s in alike[40:])
+    kept = {r["doc_id"] for r in simhash_dedup.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == {a for a, _ in linked[:40]} | set(apart)
+
+
+def test_bucket_members_that_fail_with_the_head_are_compared(spark):
+    rng = np.random.default_rng(10)
+    shared = [f"s{k}" for k in range(300)]  # all share this; two by two they share more
+    docs = []
+    for g in range(30):
+        own = [f"o{k}" for k in rng.integers(0, 10**6, 120)]
+        docs += [(2 * g, " ".join(shared + own)), (2 * g + 1, " ".join(shared + own[:-1] + ["end"]))]
+    kept = {r["doc_id"] for r in simhash_dedup.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == {2 * g for g in range(30)}
+
+
 # line dedup
 
 
