@@ -3,18 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluice.llm.common import SPACE, computed, read
+from sluice.llm.common import SPACE, checkpointed, computed, read
 
 #: A line of so many words is a chunk of its own, and may go though it is one line.
 LONG_LINE = 50
+#: A repeated passage of lines goes from so many words on, wherever it stands.
+PASSAGE_WORDS = 50
 #: Chunk hashes are looked up by this many buckets: the broadcast set of buckets can't outgrow it.
 BUCKETS = 1 << 20
 
 
+def word_count(line: Column, enough: int) -> Column:
+    """A line's words, or any number from `enough` on if it has so many: the end of a long line isn't read."""
+    count = lambda c: F.regexp_count(c, F.lit(f"[^{SPACE}]+"))
+    head = 8 * enough
+    return F.when(F.length(line) <= head, count(line)).when(count(F.substring(line, 1, head)) >= enough, F.lit(enough)).otherwise(count(line))
+
+
 def line_chunks(docs: DataFrame, text: Column, long_line: int = LONG_LINE) -> DataFrame:
-    """docs with _chunks: array of (chunk: string, lines: int, eligible: boolean); joined by newlines they are the text.
+    """docs with _chunks: array of (chunk: string, start: int, lines: int, eligible: boolean); joined by newlines they are the text.
 
     Each line has a rolling hash, of its and its predecessor's hash. A boundary stands after a line
     whose rolling hash is less than its two neighbours', and on both sides of a long line. So it
@@ -23,7 +33,7 @@ def line_chunks(docs: DataFrame, text: Column, long_line: int = LONG_LINE) -> Da
     lines, are eligible.
     """
     df = computed(docs, _lines=F.split(F.coalesce(text, F.lit("")), "\n"))
-    df = computed(df, _h=F.transform("_lines", lambda s: F.xxhash64(s)), _long=F.transform("_lines", lambda s: F.regexp_count(s, F.lit(f"[^{SPACE}]+")) >= long_line))
+    df = computed(df, _h=F.transform("_lines", lambda s: F.xxhash64(s)), _long=F.transform("_lines", lambda s: word_count(s, long_line) >= long_line))
     n = F.size("_lines")
     # after[i] for i = 0 .. n-2: whether a boundary stands between line i and i + 1
     one = F.lit(1)
@@ -39,44 +49,84 @@ def line_chunks(docs: DataFrame, text: Column, long_line: int = LONG_LINE) -> Da
     df = computed(df, _spans=spans)
     # One pass over the spans; _lines and _long stand still, as generated columns they aren't evaluated again.
     chunks = F.transform("_spans", lambda s: F.struct(
-        F.array_join(F.slice("_lines", s.a + 1, s.n), "\n").alias("chunk"), s.n.alias("lines"), ((s.n > 1) | F.get("_long", s.a)).alias("eligible")))
+        F.array_join(F.slice("_lines", s.a + 1, s.n), "\n").alias("chunk"), s.a.alias("start"), s.n.alias("lines"), ((s.n > 1) | F.get("_long", s.a)).alias("eligible")))
     return computed(df, _chunks=chunks).drop("_lines", "_h", "_long", "_r", "_low", "_next", "_cut", "_after", "_starts", "_spans")
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long_line: int = LONG_LINE) -> DataFrame:
+def windows(docs: DataFrame, words: int) -> DataFrame:
+    """_id, _th, _start, _n, _d for each window of docs (_id, _th, _text); equal windows have equal 128-bit digests _d.
+
+    A window is the shortest run of lines with so many words from a line on, or up to a line. A
+    passage of so many words that is repeated holds the windows from each of its lines on and up to
+    each, as far as they reach the number inside it; together they are the whole passage, and they
+    depend on nothing outside. So it is found at any offset. Blank lines begin and end no window and
+    are not compared; those inside one are part of it.
+    """
+    lines = docs.select("_id", "_th", F.posexplode(F.split("_text", "\n")).alias("_pos", "_line"))
+    lines = lines.select("_id", "_th", "_pos", word_count(F.col("_line"), words).cast("long").alias("_w"), F.xxhash64("_line").alias("_g"), F.xxhash64(F.lit(1), "_line").alias("_m")).filter("_w > 0")
+    lines = lines.groupBy("_id", "_th", "_pos").agg(F.first("_w").alias("_w"), F.first("_g").alias("_g"), F.first("_m").alias("_m")).withColumn("_m", F.concat(F.hex("_g"), F.lit("."), F.hex("_m"))).drop("_g")  # equal rows are one document
+    doc = W.partitionBy("_id", "_th")
+    lines = lines.withColumn("_upto", F.sum("_w").over(doc.orderBy("_pos"))).withColumn("_before", F.expr("_upto - _w"))
+    ahead, back = doc.orderBy("_before").rangeBetween(0, words - 1), doc.orderBy("_upto").rangeBetween(1 - words, 0)
+    digest = lambda w: F.unhex(F.md5(F.array_join(F.collect_list("_m").over(w), ",")))
+    window = lambda w, a, b: F.struct(F.sum("_w").over(w).alias("words"), a.alias("_start"), (b - a + 1).alias("_n"), digest(w).alias("_d"))
+    both = lines.select("_id", "_th", window(ahead, F.col("_pos"), F.max("_pos").over(ahead)).alias("_a"), window(back, F.min("_pos").over(back), F.col("_pos")).alias("_b"))
+    each = both.select("_id", "_th", F.explode(F.when(F.col("_a") == F.col("_b"), F.array("_a")).otherwise(F.array("_a", "_b"))).alias("_x")).filter(F.col("_x.words") >= words)
+    return each.select("_id", "_th", "_x._start", "_x._n", "_x._d")
+
+
+def _repeats(each: DataFrame, same: str) -> DataFrame:
+    """_id, _th, _start, _n of the rows of each whose column `same` stands in a smaller (id, text hash, start); _h is a hash of it."""
+    places = checkpointed(each.select("_id", "_th", "_start", "_n", "_h")) if same == "_chunk" else each  # windows are kept already
+    twice = places.groupBy("_h").agg(F.count("*").alias("_c")).filter("_c > 1")
+    buckets = twice.select(F.pmod("_h", F.lit(BUCKETS)).alias("_bucket")).distinct()  # BUCKETS rows at most
+    candidates = lambda x: x.withColumn("_bucket", F.pmod("_h", F.lit(BUCKETS))).join(F.broadcast(buckets), "_bucket", "left_semi")
+    stays = candidates(each).groupBy("_h", same).agg(F.min(F.struct("_id", "_th", "_start", "_n")).alias("_s")).select(*[F.col(f"_s.{c}").alias("_s" + c) for c in ("_id", "_th", "_start", "_n")])
+    here = F.col("_id").eqNullSafe(F.col("_s_id"))
+    for c in ("_th", "_start", "_n"):
+        here = here & (F.col(c) == F.col("_s" + c))
+    return candidates(places).select("_id", "_th", "_start", "_n").join(stays, here, "left_anti")
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long_line: int = LONG_LINE, passage_words: int | None = None) -> DataFrame:
     """docs with text less its repeated chunks, n_lines, n_removed_lines, n_removed_chunks (long).
 
-    Of equal eligible chunks the one in the smallest (id, text hash, chunk number) stays, also within
+    Of equal eligible chunks the one in the smallest (id, text hash, place) stays, also within
     a document. Chunks with equal hashes are compared by their bytes before one goes. Hash counts are
     pre-aggregated; the texts of candidates alone are compared, by a grouping that is aggregated before
     its shuffle, and what stays is taken off by its place and not by its text, so no hot chunk meets in a task. Rows with equal id
     and text are one document and are treated alike. A null text stays null with 0 of everything; an
     empty text is one empty line. Blank lines belong to chunks as any other. Further columns of docs
     stay as they are; those named like the added columns are replaced.
+
+    With passage_words, repeated passages of lines with so many words go too, by their windows in the
+    same order, compared by digests of 128 bits; n_removed_chunks then counts the runs of lines that
+    went. Any line that goes has an equal one at a smaller place, so none is lost altogether; of lines
+    repeated over and over in a row one period stays.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines", "n_removed_chunks")]
     d = docs.select(*kept)
-    key = [F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_th")]
-    chunked = line_chunks(d.filter(F.col(text).isNotNull()).select(*key, F.col(text).alias("_text")), F.col("_text"), long_line)
-    each = chunked.select("_id", "_th", F.posexplode("_chunks").alias("_no", "_c")).filter("_c.eligible").select("_id", "_th", "_no", F.xxhash64("_c.chunk").alias("_h"), F.col("_c.chunk").alias("_chunk"))
-    twice = each.groupBy("_h").agg(F.count("*").alias("_n")).filter("_n > 1")
-    buckets = twice.select(F.pmod("_h", F.lit(BUCKETS)).alias("_bucket")).distinct()  # BUCKETS rows at most
-    candidates = each.withColumn("_bucket", F.pmod("_h", F.lit(BUCKETS))).join(F.broadcast(buckets), "_bucket", "left_semi")
-    stays = candidates.groupBy("_h", "_chunk").agg(F.min(F.struct("_id", "_th", "_no")).alias("_s")).select(F.col("_s._id").alias("_sid"), F.col("_s._th").alias("_sth"), F.col("_s._no").alias("_sno"))
-    gone = candidates.select("_id", "_th", "_no").join(stays, F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_th") == F.col("_sth")) & (F.col("_no") == F.col("_sno")), "left_anti")
-    gone = gone.groupBy(F.col("_id").alias("_gid"), F.col("_th").alias("_gth")).agg(F.collect_set("_no").alias("_gone"))
+    texts = d.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text"))
+    each = line_chunks(texts, F.col("_text"), long_line).select("_id", "_th", F.explode("_chunks").alias("_c")).filter("_c.eligible")
+    each = each.select("_id", "_th", F.col("_c.start").alias("_start"), F.col("_c.lines").alias("_n"), F.xxhash64("_c.chunk").alias("_h"), F.col("_c.chunk").alias("_chunk"))
+    gone = _repeats(each, "_chunk")
+    if passage_words:
+        gone = gone.unionByName(_repeats(checkpointed(windows(texts, passage_words).withColumn("_h", F.xxhash64("_d"))), "_d"))
+    gone = gone.groupBy(F.col("_id").alias("_gid"), F.col("_th").alias("_gth")).agg(F.collect_set(F.struct("_start", "_n")).alias("_gone"))
     out = d.withColumn("_id", F.col(doc_id)).withColumn("_th", F.xxhash64(text))
     out = out.join(gone, out["_id"].eqNullSafe(gone["_gid"]) & (out["_th"] == gone["_gth"]), "left").drop("_gid", "_gth", "_id", "_th")
-    whole = line_chunks(out, F.when(F.col("_gone").isNotNull(), F.col(text)), long_line)
-    left = computed(whole, _left=F.filter("_chunks", lambda c, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i)))
-    lines = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x.lines)
     hit = F.col("_gone").isNotNull()
+    out = computed(out, _lines=F.when(hit, F.split(F.col(text), "\n")), _off=F.when(hit, F.array_sort(F.array_distinct(F.flatten(F.transform("_gone", lambda g: F.sequence(g._start, g._start + g._n - 1)))))))
+    none = F.array(F.lit(-1))
+    left = F.filter(F.zip_with(F.concat(none, "_off"), F.concat("_off", F.array(F.size("_lines"))), lambda a, b: F.struct((a + 2).alias("a"), (b - a - 1).alias("n"))), lambda s: s.n > 0)
+    runs = F.size(F.filter(F.zip_with("_off", F.concat(none, F.slice("_off", 1, F.size("_off") - 1)), lambda b, a: (b > a + 1) | (b == 0)), lambda x: x))
+    out = computed(out, _left=left)
     total = F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).cast("long")
-    removed = F.when(hit, lines(F.col("_chunks")) - lines(F.col("_left"))).otherwise(0).cast("long")
-    new = F.when(hit, F.array_join(F.transform("_left", lambda c: c.chunk), "\n")).otherwise(F.col(text))
-    out = left.select(*[c for c in kept if c != text], new.alias(text), total.alias("n_lines"), removed.alias("n_removed_lines"), F.when(hit, F.size("_gone")).otherwise(0).cast("long").alias("n_removed_chunks"))
+    new = F.when(hit, F.array_join(F.flatten(F.transform("_left", lambda s: F.slice("_lines", s.a, s.n))), "\n")).otherwise(F.col(text))
+    count = lambda c: F.when(hit, c).otherwise(0).cast("long")
+    out = out.select(*[c for c in kept if c != text], new.alias(text), total.alias("n_lines"), count(F.size("_off")).alias("n_removed_lines"), count(runs if passage_words else F.size("_gone")).alias("n_removed_chunks"))
     return out.select(*kept, "n_lines", "n_removed_lines", "n_removed_chunks")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), passage_words=PASSAGE_WORDS)

@@ -261,6 +261,32 @@ def test_line_dedup_finds_shifted_passages(spark):
     assert got[1]["n_removed_lines"] == 0 and min(got[2]["n_removed_lines"], got[3]["n_removed_lines"]) >= 30
 
 
+def test_line_dedup_finds_every_passage_of_50_words(spark):
+    rng = np.random.default_rng(7)
+    line = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**6, n))
+    docs, want = [], []
+    for g, sizes in enumerate([(40,) * 5, (25, 25), (10, 30, 10), (45, 5, 3), (3, 0, 49, 1), (12,) * 6, (6,) * 10, (30, 20), (1,) * 50, (24, 25), (6,) * 8]):
+        passage = [line(n) for n in sizes]
+        for k in range(3):
+            before, after = [line(9) for _ in range(k + 1)], [line(9) for _ in range(2)]
+            docs.append((3 * g + k, "\n".join(before + passage + after)))
+            goes = k > 0 and sum(sizes) >= 50
+            want.append((3 * g + k, "\n".join(before + after if goes else before + passage + after), len(sizes) * goes, int(goes)))
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), passage_words=line_dedup.PASSAGE_WORDS)
+    assert sorted((r["doc_id"], r["text"], r["n_removed_lines"], r["n_removed_chunks"]) for r in got.collect() if r["doc_id"] < 27) == want[:27]
+    short = {r["doc_id"]: r["text"] for r in got.collect()}
+    assert all(len(short[i]) > 0 for i in range(27, 33))
+
+
+def test_line_dedup_loses_no_line(spark):
+    rng = np.random.default_rng(11)
+    pool = [" ".join(f"w{rng.integers(99)}" for _ in range(rng.integers(0, 30))) for _ in range(12)]
+    docs = [(k, "\n".join(pool[j] for j in rng.integers(0, 12, 25))) for k in range(20)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), passage_words=20).collect()
+    assert sum(r["n_removed_lines"] for r in got) > 50 and all(r["n_lines"] - r["n_removed_lines"] == len(r["text"].split("\n")) for r in got if r["text"])
+    assert {x for _, t in docs for x in t.split("\n")} == {x for r in got for x in r["text"].split("\n")}
+
+
 def test_line_dedup_of_odd_rows(spark):
     got = line_dedup.dedup_lines(odd(spark).withColumn("n_lines", F.lit("clash")))
     assert got.count() == len(ODD) and dict(got.dtypes)["n_lines"] == "bigint" and "score" in got.columns
