@@ -46,6 +46,22 @@ def test_queries_without_sql(spark):
     assert all(r["lower_bound"] <= cut["cut_value"] <= r["upper_bound"] for r in run("dd_round_trace"))
 
 
+def test_bands_cover_the_whole_network(spark):
+    from sluice.plans.networks import supply_network
+
+    net, near = supply_network(spark, SF), {}
+    for r in net.arcs.collect():
+        near.setdefault(r["src"], set()).add(r["dst"])
+        near.setdefault(r["dst"], set()).add(r["src"])
+    want, edge = {0: 0, 1: 0}, {0, 1}
+    for d in (1, 2, 3):
+        edge = {b for a in edge for b in near.get(a, ())} - want.keys()
+        want |= dict.fromkeys(edge, d)
+    assert {r["node"]: r["distance"] for r in catalog.queries()["band_bfs_whole"](spark, SF).collect()} == want
+    zero = net.cut_value(net.terminals.selectExpr("node", "0 AS label")).first()["value"]
+    assert catalog.queries()["band_mincut"](spark, SF).first()["before"] == zero
+
+
 def test_entry_without_the_training_data_operators(tmp_path):
     for p in ("sluice", "__spark_entry__.py"):
         (shutil.copytree if (ROOT / p).is_dir() else shutil.copy)(ROOT / p, tmp_path / p)
