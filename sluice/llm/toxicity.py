@@ -15,23 +15,26 @@ from sluice.llm.common import bounded_batches, checkpointed, id_remainder, read
 #: Labelled rows of the training part that the word list is fitted on: those with the least hash of their id.
 SAMPLE = 10_000
 #: A word or stem is listed if at least this many sampled texts have it and its toxic share is so many deviations high; the highest are taken.
-LEAST_TEXTS, LEAST_Z, MOST_WORDS = 5, 5.0, 500
+LEAST_TEXTS, LEAST_Z, MOST_WORDS = 3, 4.0, 500
 #: Lengths of the beginnings of words that are features beside the words, for stems with many endings.
-STEMS = (4, 5, 6)
+STEMS = (3, 4, 5, 6, 7)
 THRESHOLD, MODULUS, HELD = 0.3, 4, 2
-#: Characters of the language model: 0 white space, 1-26 a-z, 27 all else.
+#: Characters (code points) of the language model: 0 white space, 1-26 a-z, 27 all else.
 CLASSES = 28
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "abcdefghijklmnopqrstuvwxyz", "#": "aeiou"}
 #: Costs in log10 of the channel: a sign for a letter, a sign put in, a letter said again, a gap put in.
 SIGN, PUT_IN, AGAIN, GAP = -0.4, -1.0, -0.1, -0.2
-_CLASS = np.full(256, 27, np.int32)
+_CLASS = np.full(128, 27, np.int32)
 _CLASS[list(b" \t\n\v\f\r")] = 0
 for _i in range(26):
     _CLASS[97 + _i] = _CLASS[65 + _i] = _i + 1
 #: Signs that end a plain word, and tokens that may hide one: a letter beside a sign or digit, a letter three times.
 _ENDS = ".,;:!?\"'()[]{}<>%&~`^=/\\|-_*#$@+"
-_NOISY = re.compile(r"[a-z][0-9@$!|+(*#._\-]+[a-z]|[0-9@$!|+(*#][a-z]|[a-z][013457@$!|+*]|(.)\1\1")
-_SPACED = re.compile(r"(?<![^\s.,;:!?])(?:[a-z0-9@$!|][\s.\-_*]{1,2}){3,}[a-z0-9@$!|](?![^\s.,;:!?])")
+_NOISY = re.compile(r"[^\W\d_][0-9@$!|+(*#._\-]+[^\W\d_]|[0-9@$!|+(*#][^\W\d_]|[^\W\d_][013457@$!|+*]|([^\s])\1\1")
+_SPACED = re.compile(r"(?<![^\s.,;:!?])(?:[^\W_][\s.\-_*]{1,2}|[@$!|][\s.\-_*]{1,2}){2,}(?:[^\W_]|[@$!|])(?![^\s.,;:!?])")
+#: Where a noisy token may be: quick to find, then looked at by _NOISY.
+_SIGNS, _THRICE = re.compile(r"[0-9@$|+*]|[!(#_.\-](?!\s)"), re.compile(r"(\S)\1\1")
+_TOKEN = re.compile(r"\S+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -42,15 +45,15 @@ def trigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES**3, np.int64)
         for b in batches:
-            raw = np.frombuffer(b" \n ".join(t or b"" for t in b.column(0).to_pylist()), np.uint8)
+            raw = np.frombuffer(" \n ".join(t or "" for t in b.column(0).to_pylist()).encode("utf-32-le", "replace"), np.uint32)
             for a in range(0, len(raw), 1 << 22):
-                c = _CLASS[raw[a : a + (1 << 22) + 2]]
+                c = _CLASS[np.minimum(raw[a : a + (1 << 22) + 2], 127)]
                 if len(c) > 2:
                     total += np.bincount(c[:-2] * (CLASSES * CLASSES) + c[1:-1] * CLASSES + c[2:], minlength=CLASSES**3)
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], ["code", "n"])
 
-    counted = docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(run, "code bigint, n bigint")
+    counted = docs.select(F.col(text).alias("t")).mapInArrow(run, "code bigint, n bigint")
     return counted.groupBy("code").agg(F.sum("n").alias("n"))
 
 
@@ -117,12 +120,21 @@ class Decoder:
         low = text.lower()
         if _SPACED.search(low):
             low = _SPACED.sub(lambda m: self(m[0]), low)
-        out = {}
-        for token in set(low.split()):
-            plain = token.strip(_ENDS)
-            if not plain.isalpha() or len(plain) != len(token) or "iii" in plain or _NOISY.search(plain):
+        out, plain_ones, done = {}, set(), 0
+        for at in sorted([*(m.start() for m in _SIGNS.finditer(low)), *(m.start() for m in _THRICE.finditer(low))]):  # tokens that may be noisy
+            if at < done:
+                continue
+            a = at
+            while a and not low[a - 1].isspace():
+                a -= 1
+            token = _TOKEN.match(low, a)[0]
+            done = a + len(token)
+            if token not in out and token not in plain_ones:
+                plain = token.strip(_ENDS)
                 if _NOISY.search(token.rstrip(".,;:!?\"')") if len(plain) > 1 else plain):
                     out[token] = self(self.core(token))
+                else:
+                    plain_ones.add(token)
         return low if not out else re.sub(r"\S+", lambda m: out.get(m[0], m[0]), low)
 
     @staticmethod
@@ -137,6 +149,25 @@ def features(text: str | None, decoder: Decoder) -> set[str]:
     return words.union(*({w[:k] + "-" for w in words if len(w) > k} for k in STEMS))
 
 
+class Listed:
+    """The listed features of a text; those of each word are looked up once in a while."""
+
+    def __init__(self, names, decoder: Decoder, most: int = 200_000):
+        self.names, self.decoder, self.most, self.memory = frozenset(names), decoder, most, {}
+
+    def __call__(self, text: str | None) -> set[str]:
+        found: set[str] = set()
+        memory = self.memory
+        for w in set(_LETTERS.findall(self.decoder.restore(text))) if text else ():
+            hits = memory.get(w)
+            if hits is None:
+                if len(memory) >= self.most:
+                    memory.clear()
+                hits = memory[w] = tuple(x for x in (w, *(w[:k] + "-" for k in STEMS if len(w) > k)) if x in self.names)
+            found.update(hits)
+        return found
+
+
 def language_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     """log10 P(c | a, b) over CLASSES^3 codes, from the counts of all documents, smoothed by the bigrams."""
     n = np.zeros(CLASSES**3)
@@ -152,9 +183,9 @@ def _hits(some: DataFrame, shared, names: frozenset[str]) -> list[tuple[int, lis
     """Label and listed features of each sampled text; the sample's bound is that of the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(shared.value)
+        listed = Listed(names, Decoder(shared.value))
         for b in batches:
-            found = [sorted(names & features(t, decoder)) for t in b.column(1).to_pylist()]
+            found = [sorted(listed(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], ["y", "hits"])
 
     return [tuple(r) for r in some.mapInArrow(run, "y int, hits array<string>").collect()]
@@ -231,9 +262,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, weights, many, constant = shared.value
-        decoder, names = Decoder(model), weights.keys()
+        listed = Listed(weights, Decoder(model))
         for b in batches:
-            found = [sorted(names & features(t, decoder)) if t else [] for t in b.column(3).to_pylist()]
+            found = [sorted(listed(t)) for t in b.column(3).to_pylist()]
             scores = 1 / (1 + np.exp(-np.clip([constant + many * np.log1p(len(f)) + sum(weights[w] for w in f) for f in found], -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32)), pa.array([len(f) for f in found], pa.int32())],
                                              ["doc_id", "th", "held_out", "score", "predicted", "n_signals"])
