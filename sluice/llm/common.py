@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +61,41 @@ def unsigned_crc32(c: Column) -> Column:
 def id_remainder(c: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; null for a null id."""
     return F.crc32(F.encode(c.cast("string"), "UTF-8")) % modulus
+
+
+def apart(taken: Iterable[str], *names: str) -> list[str]:
+    """names, with so many underscores before them that they clash neither with taken nor, by their case, in Spark."""
+    low, out = {t.lower() for t in taken}, []
+    for n in names:
+        while n.lower() in low:
+            n = "_" + n
+        low.add(n.lower())
+        out.append(n)
+    return out
+
+
+def rows_by_key(docs: DataFrame, keys: DataFrame, doc_id: str, text: str, how: str) -> DataFrame:
+    """docs with ("left_semi") or without ("left_anti") the rows whose id and text hash stand in keys(i, t); columns of any name stay."""
+    t, a, b = apart(docs.columns, "t", "a", "b")
+    d, k = docs.withColumn(t, F.xxhash64(text)), keys.select(F.col("i").alias(a), F.col("t").alias(b))
+    return d.join(k, d[doc_id].eqNullSafe(k[a]) & (d[t] == k[b]), how).drop(t)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each value of the first `keys` columns, which the batches bring in order; one group is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        columns = [b.column(k).to_pylist() for k in range(keys)]
+        start = 0
+        for i, value in enumerate(zip(*columns)):
+            if value != last:
+                if i > start:
+                    held.append(b.slice(start, i - start))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, start, last = [], i, value
+        if b.num_rows > start:
+            held.append(b.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -12,13 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bounded_batches, checkpointed, read
+from sluice.llm.common import apart, bounded_batches, checkpointed, groups, read
 from sluice.llm.components import connected_components
 
 #: The pipeline's stage links texts whose sets of five-word shingles have this similarity (Jaccard) at least.
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 #: Candidates share one of BANDS bands of ROWS minima each: a pair at 0.8 is missed with (1 - 0.8^5)^45 = 2e-8, one above less often.
 BANDS, ROWS = 45, 5
+#: Texts of a bucket are compared with each other in blocks of so many texts and shingles.
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 22
 
 
 def _shingles(t: bytes | None, shingle: int) -> list[bytes]:
@@ -165,15 +167,84 @@ def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def _links(sizes: np.ndarray, sets: np.ndarray, roots: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Places (i, j) of texts that are similar enough, as few as join all groups that such pairs join.
+
+    sizes: of the sets, which stand in a row in sets. All intersections are counted at once, by a
+    product of the 0/1 matrix of texts and shingles; shingles of one text alone can't be shared.
+    """
+    n = len(sizes)
+    _, of, many = np.unique(sets, return_inverse=True, return_counts=True)
+    column = np.cumsum(many > 1) - 1
+    shared = many[of] > 1
+    row, column = np.repeat(np.arange(n), sizes)[shared], column[of[shared]]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    common = np.zeros((n, n), np.float32)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, (c, c + 4096))
+        m = np.zeros((n, min(4096, int(column[-1]) + 1 - c)), np.float32)
+        m[row[a:b], column[a:b] - c] = 1
+        common += m @ m.T
+    linked = common >= similarity * (sizes[:, None] + sizes[None] - common)
+    group = {r: r for r in roots}
+
+    def top(r: int) -> int:
+        while group[r] != r:
+            group[r] = r = group[group[r]]
+        return r
+
+    own = np.unique(np.array(roots, np.int64), return_inverse=True)[1]
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(linked & (own[:, None] != own[None]), 1))):
+        a, b = top(roots[i]), top(roots[j])
+        if a != b:
+            group[a] = b
+            out.append((int(i), int(j)))
+    return out
+
+
+def links_in_buckets(mixed: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Verified links (a, b) among the texts of each bucket of mixed(key, node, size, root, blocks), where groups (root) differ.
+
+    Every two texts of a bucket are compared, in blocks of bounded texts and shingles, so a large bucket
+    is many tasks; only links that join two groups leave a task, at most as many as it has groups. Sets
+    are compared by their shingles' 64-bit hashes.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 64):
+                part = b.slice(k, 64)
+                sets = [np.unique(np.array(list(map(xxhash.xxh64_intdigest, _shingles(t.as_py(), shingle))), np.uint64)).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+
+    sets = texts.join(mixed.select("node").distinct(), "node").select("node", "t").mapInArrow(hashed, "node bigint, set array<bigint>")
+    dealt = mixed.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "node", "root").join(checkpointed(sets), "node")
+    dealt = dealt.select("key", "low", "high", "node", "root", "set").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, 3):
+            sets = t["set"].combine_chunks()
+            sets = sets if isinstance(sets, pa.ListArray) else pa.concat_arrays(sets.chunks)
+            found = _links(np.diff(sets.offsets.to_numpy()), sets.flatten().to_numpy(), t["root"].to_pylist(), similarity)
+            node = t["node"].to_numpy()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(node[[i for i, _ in found]]), pa.array(node[[j for _, j in found]])], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """doc_id, th, copies, keep for each (doc_id, text): whether it is the one of its group that stays.
 
     Texts are linked if their sets of shingles are similar enough; a link is verified on the sets
     themselves. SimHash can't find the candidates: at a similarity of 0.8 128 bits differ in 19 on
     average and often in 30, and bands so narrow that one is surely equal select nothing. So texts
-    that share a band of minima are candidates. In a bucket all are compared with the least; then all
-    of different groups with each other, so that a group of thousands of near copies takes a
-    comparison each. Texts of equal sets are one node.
+    that share a band of minima are candidates. In a bucket all are compared with the least; then, where
+    that leaves several groups, all with each other in blocks, of which only the links that join two groups
+    go on: a group of thousands of near copies takes a link each. Texts of equal sets are one node.
     The least (doc_id, text hash) of a group stays; copies counts equal rows.
     """
     sets = checkpointed(shingle_sets(docs, shingle, doc_id, text))
@@ -191,11 +262,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = checkpointed(similar(stars, texts, shingle, similarity))
     found = connected_components(links)
     grouped = members.join(found, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    mixed = checkpointed(grouped.join(mixed, "key"))
-    x, y = (mixed.select("key", *[F.col(c).alias(c + k) for c in ("node", "size", "root")]) for k in "xy")
-    rest = x.join(y, "key").filter("nodex > nodey and rootx <> rooty").filter(close(F.col("sizex"), F.col("sizey"))).select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct()
-    found = connected_components(links.unionByName(similar(rest.join(stars, ["a", "b"], "left_anti"), texts, shingle, similarity)))
+    mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("size").alias("sum")).filter("low <> high")
+    mixed = checkpointed(grouped.join(mixed.select("key", F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("sum") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "key"))
+    found = connected_components(links.unionByName(links_in_buckets(mixed, texts, shingle, similarity)))
     labelled = fps.join(found, "node", "left").select("doc_id", "th", "copies", F.coalesce("root", "node").alias("root"))
     labelled = checkpointed(labelled)
     stays = labelled.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("s")).select("s.*")
@@ -204,12 +273,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each group of near-duplicates, all columns as they are."""
-    stays = near_duplicates(docs, doc_id, text).filter("keep").select(F.col("doc_id").alias("_i"), F.col("th").alias("_t"), F.col("copies").alias("_copies"))
-    d = docs.withColumn("_th", F.coalesce(F.xxhash64(text), F.lit(0)))
-    d = d.join(stays, d[doc_id].eqNullSafe(stays["_i"]) & (d["_th"] == stays["_t"])).drop("_i", "_t", "_th")
-    once, again = d.filter("_copies = 1").drop("_copies"), d.filter("_copies > 1").drop("_copies")
-    return once.unionByName(again.dropDuplicates([doc_id, text]))
+    """docs with one row of each group of near-duplicates, all columns as they are, whatever their names.
+
+    Of rows with one id and text the one whose other columns have the least hash stays.
+    """
+    t, a, b, copies, row = apart(docs.columns, "t", "a", "b", "copies", "row")
+    stays = near_duplicates(docs, doc_id, text).filter("keep").select(F.col("doc_id").alias(a), F.col("th").alias(b), F.col("copies").alias(copies))
+    d = docs.withColumn(t, F.xxhash64(text))
+    d = d.join(stays, d[doc_id].eqNullSafe(stays[a]) & (d[t] == stays[b])).drop(a, b, t)
+    once, again = d.filter(f"{copies} = 1").drop(copies), d.filter(f"{copies} > 1").drop(copies)
+    whole = F.struct(*[again[c] for c in docs.columns])
+    again = again.groupBy(F.col(doc_id).alias(a), F.col(text).alias(b)).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(row))
+    return once.unionByName(again.select(f"{row}.*"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

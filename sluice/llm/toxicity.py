@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bounded_batches, checkpointed, id_remainder, read
+from sluice.llm.common import bounded_batches, checkpointed, id_remainder, read, rows_by_key
 
 #: Labelled rows of the training part that the word list is fitted on: those with the least hash of their id.
 SAMPLE = 10_000
@@ -273,10 +273,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that are predicted toxic, all columns as they are."""
-    bad = score_toxicity(docs, labels, doc_id, text).filter("predicted = 1").select(F.col("doc_id").alias("_i"), F.col("th").alias("_t")).distinct()
-    d = docs.withColumn("_th", F.xxhash64(text))
-    return d.join(bad, d[doc_id].eqNullSafe(bad["_i"]) & (d["_th"] == bad["_t"]), "left_anti").drop("_th")
+    """docs without the rows that are predicted toxic, all columns as they are, whatever their names."""
+    bad = score_toxicity(docs, labels, doc_id, text).filter("predicted = 1").select(F.col("doc_id").alias("i"), F.col("th").alias("t")).distinct()
+    return rows_by_key(docs, bad, doc_id, text, "left_anti")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
