@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,22 +27,39 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and cut off from its lineage.
-
-    The folder is the session's spark.checkpoint.dir. A temporary one is made only on a local
-    master where none is set; elsewhere a missing setting is an error.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, or the folder set on its context; a temporary one only where none is set and the master has no other executors."""
     sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = sc._jsc.sc().getCheckpointDir().get()
+    if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="sluice-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sluice-checkpoint-"))
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared checkpoint folder and cut off from its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df, written to the shared folder as a table of columns and read again, and where it stands."""
+    at = f"{shared_folder(df.sparkSession)}/sluice-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at), at
+
+
+def forget(spark: SparkSession, at: str) -> None:
+    """Deletes a table that was written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns that are evaluated once a row.
 
@@ -99,3 +119,47 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
             held.append(b.slice(start))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def parts(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts have most bytes together, or are one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def to_varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values as bytes of seven bits each, lowest first, and where each begins, with the end."""
+    v = values.astype(np.uint64)
+    n = np.ones(len(v), np.int64)
+    for k in range(1, 10):
+        more = v >= np.uint64(1 << (7 * k))
+        if not more.any():
+            break
+        n += more
+    ends = np.append(0, np.cumsum(n))
+    out, alive, k = np.empty(int(ends[-1]), np.uint8), np.arange(len(v)), 0
+    while len(alive):
+        more = n[alive] > k + 1
+        out[ends[alive] + k] = ((v[alive] >> np.uint64(7 * k)) & np.uint64(127)).astype(np.uint8) | (more.astype(np.uint8) << 7)
+        alive, k = alive[more], k + 1
+    return out, ends
+
+
+def from_varints(raw: bytes | np.ndarray) -> np.ndarray:
+    b = np.frombuffer(raw, np.uint8) if isinstance(raw, bytes) else raw
+    ends = np.flatnonzero(b < 128)
+    starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+    v, more = (b[starts] & 127).astype(np.uint64), ends - starts
+    for k in range(1, int(more.max(initial=0)) + 1):
+        alive = np.flatnonzero(more >= k)
+        v[alive] |= (b[starts[alive] + k] & np.uint8(127)).astype(np.uint64) << np.uint64(7 * k)
+    return v
+
+
+def binaries(raw: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """An array of binaries that stand in a row in raw, from ends[k] up to ends[k + 1]."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])

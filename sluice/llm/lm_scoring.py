@@ -7,12 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bounded_batches, checkpointed, id_remainder, read
+from sluice.llm.common import bounded_batches, checkpointed, id_remainder, parts, read
 
 MODULUS, HELD = 7, 2
 #: The model's order: words that it knows by name, of these the ones that have bigrams, letters of a spelled word.
@@ -41,16 +40,6 @@ _WITHIN[_LETTER == LETTERS - 1] = -np.log10((_LETTER == LETTERS - 1).sum())
 _MARK = 10  # a byte that no word holds stands between spelled words
 
 
-def parts(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in slices whose texts have most bytes together, or are one text."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    a = 0
-    while a < len(ends):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
-        yield batch.slice(a, b - a)
-        a = b
-
-
 def words_of(text: bytes | None) -> list[bytes]:
     w = text.lower().split() if text else []
     w.append(END)

@@ -91,15 +91,63 @@ def find(docs, items, width):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 24, 40])
-def test_decontamination_equals_brute_force(spark, block):
+def near(docs, items, width, slop):
+    """Items of which a window of width words stands in each text, in order with at most slop other words between."""
+    out = []
+    for _, text in docs:
+        t, names = decon.tokens(text), set()
+        for name, item in items:
+            w = decon.tokens(item)
+            for k in range(len(w) - width + 1):
+                for i, x in enumerate(t):
+                    at = i if x == w[k] else None
+                    for y in w[k + 1 : k + width]:
+                        at = next((j for j in range(at + 1, len(t)) if t[j] == y), None) if at is not None else None
+                    if at is not None and at - i + 1 - width <= slop:
+                        names.add(str(name))
+        out.append(len(names))
+    return out
+
+
+@pytest.mark.parametrize("segment,width,slop", [(1 << 21, 3, 2), (40, 5, 2), (1 << 21, 6, 0)])
+def test_decontamination_equals_brute_force(spark, segment, width, slop):
     rng = np.random.default_rng(3)
     text = lambda n: " ".join(rng.choice(["a", "b", "C", "é1"], n))
     items = [(f"q{k}", text(n)) for k, n in enumerate((0, 1, 2, 3, 5, 8, 8))] + [("q1", "b a"), (None, "a"), ("q9", None), ("q3", "A-b.c")]
     docs = [(k, text(n)) for k, n in enumerate((0, 1, 4, 30, 30, 200))] + [(9, None), (10, "c" * 5000), (11, "x, B!a?"), (11, "x, B!a?")]
-    got = decon.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), width=3, block_chars=block)
-    rows = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got.collect())
-    assert rows == sorted((d[0], *f) for d, f in zip(docs, find(docs, [i for i in items if i[0] is not None and i[1] is not None], 3)))
+    got = decon.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), width=width, slop=slop, segment_words=segment)
+    rows = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"], r["n_near_items"]) for r in got.collect())
+    items = [i for i in items if i[0] is not None and i[1] is not None]
+    assert rows == sorted((d[0], *f, n) for d, f, n in zip(docs, find(docs, items, width), near(docs, items, width, slop)))
+
+
+def test_phrases_are_found_with_words_put_in(spark):
+    docs = spark.createDataFrame([(1, "a x b y c z"), (2, "b a b c"), (3, "c b a"), (4, "a b"), (5, "c")], "doc_id long, text string")
+    index, at = decon.build_index(docs)
+    find = lambda p, slop: sorted((r["doc_id"], r["first"], r["end"], r["exact"]) for r in decon.search(index, spark.createDataFrame([(p.encode(),)], "phrase binary"), slop).join(index.filter("term IS NULL").select("seg", "start", "doc_id"), ["seg", "start"]).collect())
+    assert find("a b c", 2) == [(1, 0, 5, False), (2, 1, 4, True)] and find("a b c", 1) == [(2, 1, 4, True)]
+    assert find("a b c q", 2) == [] and find("c", 3) == [(1, 4, 5, True), (2, 3, 4, True), (3, 0, 1, True), (5, 0, 1, True)]
+    decon.forget(spark, at)
+    with pytest.raises(ValueError):
+        decon.search(index, docs, decon.GAP)
+
+
+def test_numbers_of_any_size_pack_and_unpack():
+    from sluice.llm.common import from_varints, to_varints
+
+    v = np.array([0, 1, 127, 128, 300, 2**32, 2**63 - 1, 2**64 - 1], np.uint64)
+    raw, ends = to_varints(v)
+    assert (from_varints(raw) == v).all() and (from_varints(raw[ends[2] : ends[4]].tobytes()) == v[2:4]).all() and len(from_varints(b"")) == 0
+
+
+def test_many_windows_of_few_words_stay_small(spark):
+    rng = np.random.default_rng(1)
+    digits = lambda n: " ".join(map(str, rng.integers(0, 10, n)))
+    doc = digits(20_000)
+    items = [(f"{k}", digits(10)) for k in range(5000)] + [("in", " ".join(doc.split()[777:787]))] + [(f"p{k}", "one shared prompt that every item of this set begins with " + str(k)) for k in range(3000)]
+    got = decon.find_contamination(spark.createDataFrame([(1, doc), (2, "One shared prompt that every item of this set begins with 7!")], "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"))
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert "in" in rows[1]["items"] and rows[1]["n_hit"] >= 10 and rows[2]["n_items"] == 3000 and rows[2]["n_hit"] == 11
 
 
 def test_decontamination_equals_its_sql(same):
@@ -116,9 +164,13 @@ def test_decontamination_of_odd_rows(spark):
     assert kept.count() == len(ODD) - 2 and kept.columns == odd(spark).columns
 
 
-def test_proximity():
-    assert decon.proximity("a x b y c", "a b c", 2) == [(0, 5)] and decon.proximity("a x b y c", "a b c", 1) == []
-    assert decon.proximity("b a b c", "a b c", 0) == [(1, 4)] and decon.proximity("", "a", 3) == [] and decon.proximity("a", "", 3) == []
+def test_extra_columns_of_any_name_stay(spark):
+    names = ["t", "T_", "_t", "_th", "a", "b", "copies", "row", "_i", "_id", "_h", "_lines", "_gone", "_copies", "i", "_a", "doc"]
+    docs = spark.createDataFrame([(1, "some words here", *range(len(names))), (1, "some words here", *range(len(names))), (2, None, *range(len(names)))], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    items, labels = spark.createDataFrame([("1", "other")], "item_id string, text string"), spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    for out, n in ((decon.drop_contaminated(docs, items), 3), (toxicity.drop_toxic(docs, labels), 3), (simhash_dedup.drop_near_duplicates(docs), 2), (line_dedup.dedup_lines(docs, passage_words=50), 3)):
+        assert out.columns[: len(docs.columns)] == docs.columns and out.count() == n
+        assert {tuple(r)[2 : 2 + len(names)] for r in out.collect()} == {tuple(range(len(names)))}
 
 
 # packing
