@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluice.llm.common import apart, binaries, bounded_batches, checkpointed, forget, from_varints, parts, read, rows_by_key, to_varints, written
+from sluice.llm.common import apart, binaries, bounded_batches, checkpointed, forget, from_varints, having, parts, read, rows_by_key, to_varints, written
 
 WINDOW = 10
 #: Words that may stand between those of a window, in all, in a proximity match.
 SLOP = 4
 #: Words and documents of a segment of the index, and places left free behind a document: no phrase reaches over them.
-SEGMENT_WORDS, SEGMENT_DOCS, GAP = 1 << 21, 1 << 16, 1024
+SEGMENT_WORDS, SEGMENT_DOCS, GAP = 1 << 22, 1 << 16, 1024
 #: A term with more places in a segment is dealt out by segment too, so that no partition holds all of a frequent term.
 HOT = 4096
 #: Words by which a phrase is followed one list at a time; the lists of the rest are looked up together.
@@ -243,9 +243,9 @@ def search(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
             of = np.repeat(np.arange(len(each)), size)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), pa.array(np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)), pa.array([x for w in each for x in w], pa.binary())], ["phrase", "place", "term"])
 
-    lists = index.filter("term IS NOT NULL").select("term", "seg", "n", "places")
     words = checkpointed(phrases.select("phrase").mapInArrow(placed, "phrase binary, place bigint, term binary"))
-    known = lists.select("term", "n").join(words.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
+    lists, at = written(having(index.filter("term IS NOT NULL").select("term", "seg", "n", "places"), words.select("term")))
+    known = lists.groupBy("term").agg(F.sum("n").alias("n"))
     counted = words.join(known, "term", "left").groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("w")).filter("forall(w, x -> x.n IS NOT NULL)")
     edge, leaf, need, rest = range(4)
 
@@ -283,7 +283,7 @@ def search(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
     def with_lists(asked: DataFrame) -> DataFrame:
         """asked(term, seg, places, ...) behind the lists that it asks for."""
         more = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in asked.columns[3:]]
-        wanted = lists.join(asked.select("term", "seg").distinct(), ["term", "seg"], "left_semi").select("term", "seg", "places", *more)
+        wanted = having(lists, asked.select("term", "seg")).select("term", "seg", "places", *more)
         return wanted.unionByName(asked).repartition("term", "seg").sortWithinPartitions("term", "seg", F.col("places").isNull())
 
     for level in range(1, PART):
@@ -298,8 +298,10 @@ def search(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
     every = _complete(where.unionByName(near).unionByName(ends).repartition("node", "seg").sortWithinPartitions("node", "seg", "kind"), slop)
     for f in found:
         every = every.unionByName(f)
-    every = checkpointed(every).select("phrase", "seg", "words", F.inline(F.arrays_zip("low", "high")))
-    docs = index.filter("term IS NULL").select("seg", F.col("start").alias("low")).join(every.select("seg").distinct(), "seg", "left_semi")
+    every = checkpointed(every)
+    forget(index.sparkSession, at)
+    every = every.select("phrase", "seg", "words", F.inline(F.arrays_zip("low", "high")))
+    docs = having(index.filter("term IS NULL").select("seg", F.col("start").alias("low")), every.select("seg"))
     rows = docs.select("seg", "low", *none(high="bigint", phrase="binary", words="int")).unionByName(every)
     rows = rows.withColumn("start", F.last(F.when(F.col("phrase").isNull(), F.col("low")), ignorenulls=True).over(W.partitionBy("seg").orderBy("low", F.col("phrase").isNotNull()))).filter("phrase IS NOT NULL")
     return rows.select("phrase", "seg", "start", (F.col("low") - F.col("start")).alias("first"), (F.col("high") + 1 - F.col("start")).alias("end"), (F.col("high") + 1 - F.col("low") == F.col("words")).alias("exact"))

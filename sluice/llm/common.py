@@ -54,6 +54,16 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(at), at
 
 
+#: Keys that a half-join may broadcast; more are shuffled.
+FEW_KEYS = 1 << 19
+
+
+def having(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of df with the values of keys, which is counted first: broadcast if it is small, so that df needs no shuffle."""
+    keys = checkpointed(keys.distinct())
+    return df.join(F.broadcast(keys) if keys.count() <= FEW_KEYS else keys, keys.columns, "left_semi")
+
+
 def forget(spark: SparkSession, at: str) -> None:
     """Deletes a table that was written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(at)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluice.llm.common import SPACE, checkpointed, computed, read
+from sluice.llm.common import SPACE, apart, checkpointed, computed, read
 
 #: A line of so many words is a chunk of its own, and may go though it is one line.
 LONG_LINE = 50
@@ -97,7 +97,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lon
     its shuffle, and what stays is taken off by its place and not by its text, so no hot chunk meets in a task. Rows with equal id
     and text are one document and are treated alike. A null text stays null with 0 of everything; an
     empty text is one empty line. Blank lines belong to chunks as any other. Further columns of docs
-    stay as they are; those named like the added columns are replaced.
+    stay as they are, whatever their names; those named like the added columns are replaced.
 
     With passage_words, repeated passages of lines with so many words go too, by their windows in the
     same order, compared by digests of 128 bits; n_removed_chunks then counts the runs of lines that
@@ -105,27 +105,27 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lon
     repeated over and over in a row one period stays.
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines", "n_removed_chunks")]
-    d = docs.select(*kept)
-    texts = d.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text"))
+    others = [docs[c].alias(c) for c in kept if c != text]
+    # The caller's columns stand in a struct meanwhile, whatever their names.
+    d = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text"), F.struct(*others, F.lit(0).alias(*apart(kept, "end"))).alias("_row"))
+    texts = d.filter("_text IS NOT NULL").drop("_row")
     each = line_chunks(texts, F.col("_text"), long_line).select("_id", "_th", F.explode("_chunks").alias("_c")).filter("_c.eligible")
     each = each.select("_id", "_th", F.col("_c.start").alias("_start"), F.col("_c.lines").alias("_n"), F.xxhash64("_c.chunk").alias("_h"), F.col("_c.chunk").alias("_chunk"))
     gone = _repeats(each, "_chunk")
     if passage_words:
         gone = gone.unionByName(_repeats(checkpointed(windows(texts, passage_words).withColumn("_h", F.xxhash64("_d"))), "_d"))
     gone = gone.groupBy(F.col("_id").alias("_gid"), F.col("_th").alias("_gth")).agg(F.collect_set(F.struct("_start", "_n")).alias("_gone"))
-    out = d.withColumn("_id", F.col(doc_id)).withColumn("_th", F.xxhash64(text))
-    out = out.join(gone, out["_id"].eqNullSafe(gone["_gid"]) & (out["_th"] == gone["_gth"]), "left").drop("_gid", "_gth", "_id", "_th")
+    out = d.join(gone, d["_id"].eqNullSafe(gone["_gid"]) & (d["_th"] == gone["_gth"]), "left").drop("_gid", "_gth", "_id", "_th")
     hit = F.col("_gone").isNotNull()
-    out = computed(out, _lines=F.when(hit, F.split(F.col(text), "\n")), _off=F.when(hit, F.array_sort(F.array_distinct(F.flatten(F.transform("_gone", lambda g: F.sequence(g._start, g._start + g._n - 1)))))))
+    out = computed(out, _lines=F.when(hit, F.split(F.col("_text"), "\n")), _off=F.when(hit, F.array_sort(F.array_distinct(F.flatten(F.transform("_gone", lambda g: F.sequence(g._start, g._start + g._n - 1)))))))
     none = F.array(F.lit(-1))
     left = F.filter(F.zip_with(F.concat(none, "_off"), F.concat("_off", F.array(F.size("_lines"))), lambda a, b: F.struct((a + 2).alias("a"), (b - a - 1).alias("n"))), lambda s: s.n > 0)
     runs = F.size(F.filter(F.zip_with("_off", F.concat(none, F.slice("_off", 1, F.size("_off") - 1)), lambda b, a: (b > a + 1) | (b == 0)), lambda x: x))
     out = computed(out, _left=left)
-    total = F.when(F.col(text).isNull(), 0).otherwise(F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit(""))) + 1).cast("long")
-    new = F.when(hit, F.array_join(F.flatten(F.transform("_left", lambda s: F.slice("_lines", s.a, s.n))), "\n")).otherwise(F.col(text))
+    total = F.when(F.col("_text").isNull(), 0).otherwise(F.length("_text") - F.length(F.replace(F.col("_text"), F.lit("\n"), F.lit(""))) + 1).cast("long")
+    new = F.when(hit, F.array_join(F.flatten(F.transform("_left", lambda s: F.slice("_lines", s.a, s.n))), "\n")).otherwise(F.col("_text"))
     count = lambda c: F.when(hit, c).otherwise(0).cast("long")
-    out = out.select(*[c for c in kept if c != text], new.alias(text), total.alias("n_lines"), count(F.size("_off")).alias("n_removed_lines"), count(runs if passage_words else F.size("_gone")).alias("n_removed_chunks"))
-    return out.select(*kept, "n_lines", "n_removed_lines", "n_removed_chunks")
+    return out.select(*[new.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in kept], total.alias("n_lines"), count(F.size("_off")).alias("n_removed_lines"), count(runs if passage_words else F.size("_gone")).alias("n_removed_chunks"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

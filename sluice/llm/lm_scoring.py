@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,15 +12,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bounded_batches, checkpointed, id_remainder, parts, read
+from sluice.llm.common import binaries, bounded_batches, checkpointed, forget, from_varints, groups, id_remainder, parts, read, to_varints, written
 
 MODULUS, HELD = 7, 2
-#: The model's order: words that it knows by name, of these the ones that have bigrams, letters of a spelled word.
-SHORTLIST, PAIRED, ORDER = 1 << 18, 1 << 11, 4
-#: Share of the bigram in the mixture with the unigram.
-BIGRAM = 0.3
+#: Words whose exact counts every worker holds, for base_score; the counts of the others are joined. The model itself has all words.
+SHORTLIST = 1 << 18
+#: Weights, as so many tokens, of the lower order in the mixtures of bigrams and trigrams; letters of a spelled word.
+TWO, THREE, ORDER = 1000.0, 5.0, 4
 #: Counts are quantised to powers of two; each level of an n-gram is a member of the filter.
-BITS, HASHES, BLOCKS, LEVELS = 12, 3, 64, 48
+BITS, HASHES, LEVELS = 12, 3, 48
+#: Training tokens to a block of the filter, and to a task's table of n-grams.
+BLOCK_TOKENS, TABLE_TOKENS = 1 << 21, 1 << 21
+#: Bytes of the filter that are broadcast at once; a larger one is probed in several passes over the texts.
+BROADCAST_BYTES = 256 << 20
 #: Levels of a count in an octave, where the list of words may end.
 LEVEL_STEPS = 8
 END = b" "
@@ -59,93 +64,98 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class LogFrequencyFilter:
     """A blocked Bloom filter: an n-gram of count c is in it with the levels 1 .. 1 + floor(log2 c).
 
-    A count is read by probing level after level until one is missing; the mean of its octave stands for it.
+    A count is read by probing level after level until one is missing. A key's upper bits name its
+    block, the lower 40 are looked up in it. first: the number of the first block that is held.
     """
 
-    def __init__(self, blocks: list[np.ndarray]):
-        self.bits = np.concatenate(blocks)
-        self.size = np.array([len(b) * 8 for b in blocks], np.uint64)
+    def __init__(self, bits: np.ndarray, sizes: list[int], blocks: int, first: int = 0):
+        self.bits, self.first, self.shift = bits, first, np.uint64(64 - (blocks.bit_length() - 1))
+        self.size = np.array(sizes, np.uint64) * np.uint64(8)
         self.base = (np.cumsum(self.size) - self.size).astype(np.uint64)
+        self.blocks = blocks
 
     @staticmethod
-    def spots(keys: np.ndarray, level: int, size: np.ndarray) -> list[np.ndarray]:
-        h = _mix(keys + np.uint64((level * 0x9E3779B97F4A7C15) & (2**64 - 1)))
+    def spots(rest: np.ndarray, level: int, size: np.ndarray) -> Iterator[np.ndarray]:
+        h = _mix(rest + np.uint64((level * 0x9E3779B97F4A7C15) & (2**64 - 1)))
         a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-        return [(a + np.uint64(k) * b) % size for k in range(HASHES)]
+        for k in range(HASHES):
+            yield (a + np.uint64(k) * b) % size
 
     @staticmethod
-    def block_of(keys: np.ndarray) -> np.ndarray:
-        return (_mix(keys ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(BLOCKS)).astype(np.int64)
+    def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
+        return (keys >> np.uint64(64 - (blocks.bit_length() - 1))).astype(np.int64) if blocks > 1 else np.zeros(len(keys), np.int64)
 
     @staticmethod
-    def build_block(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def build_block(rest: np.ndarray, counts: np.ndarray) -> np.ndarray:
         levels = np.frexp(counts.astype(np.float64))[1]  # 1 + floor(log2)
         size = max(64, -(-int(levels.sum()) * BITS // 64) * 64)
-        bits = np.zeros(size // 8, np.uint8)
+        bits = np.zeros(size, bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
-            for s in LogFrequencyFilter.spots(keys[levels >= level], level, np.uint64(size)):
-                np.bitwise_or.at(bits, (s >> np.uint64(3)).astype(np.int64), (1 << (s & np.uint64(7))).astype(np.uint8))
-        return bits
-
-    def counts(self, keys: np.ndarray, step: int = 1 << 18) -> np.ndarray:
-        """Expected counts (0 for an n-gram that isn't in the filter), probed step keys at a time."""
-        return np.concatenate([self._counts(keys[a : a + step]) for a in range(0, len(keys), step)] or [np.zeros(0)])
-
-    def _counts(self, keys: np.ndarray) -> np.ndarray:
-        level = np.zeros(len(keys), np.int64)
-        alive = np.arange(len(keys))
-        block = self.block_of(keys)
+            for s in LogFrequencyFilter.spots(rest[levels >= level], level, np.uint64(size)):
+                bits[s.astype(np.int64)] = True
+        return np.packbits(bits, bitorder="little")
+
+    def levels(self, keys: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+        """The highest level of each key in the filter, probed step keys at a time; 0 for one that isn't in it or in another block."""
+        return np.concatenate([self._levels(keys[a : a + step]) for a in range(0, len(keys), step)] or [np.zeros(0, np.uint8)])
+
+    def _levels(self, keys: np.ndarray) -> np.ndarray:
+        level = np.zeros(len(keys), np.uint8)
+        block = self.block_of(keys, self.blocks) - self.first
+        alive = np.flatnonzero((block >= 0) & (block < len(self.size)))
+        block, rest = block[alive], keys[alive] & _REST
         size, base = self.size[block], self.base[block]
         for j in range(1, LEVELS + 1):
-            ok = np.ones(len(alive), bool)
-            for s in self.spots(keys[alive], j, size[alive]):
-                s = s + base[alive]
-                ok &= (self.bits[(s >> np.uint64(3)).astype(np.int64)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            alive = alive[ok]
+            left = np.arange(len(alive))
+            h = _mix(rest + np.uint64((j * 0x9E3779B97F4A7C15) & (2**64 - 1)))
+            a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+            for k in range(HASHES):  # most keys that aren't in it end at their first spot
+                s = (a[left] + np.uint64(k) * b[left]) % size[left] + base[left]
+                left = left[(self.bits[(s >> np.uint64(3)).astype(np.int64)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            alive, rest, size, base = alive[left], rest[left], size[left], base[left]
             if not len(alive):
                 break
             level[alive] = j
-        return np.where(level > 0, 0.75 * np.exp2(level), 0.0)  # mean of 2^(j-1) .. 2^j
+        return level
 
 
-#: Kinds of n-gram in a key's upper byte: a listed word, a pair of paired words, spelled letters by their number.
-WORD, PAIR, SPELL = 1, 2, 8
+_REST = np.uint64((1 << 40) - 1)
+#: What a level stands for: 1 for the first, the geometric mean of its octave for the others.
+COUNT_OF = np.array([0.0, 1.0, *(1.414 * 2.0 ** np.arange(1, 255))])[:256]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Kinds of letter counts in their table, by the number of letters.
+SPELL = 8
 
 
-def key(kind: int, code) -> np.ndarray:
-    return np.uint64(kind << 56) + np.asarray(code).astype(np.uint64)
+def one(h: np.ndarray) -> np.ndarray:
+    return _mix(h + np.uint64(1))
+
+
+def pairs(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return _mix(u * _STEP + v)
+
+
+def triples(t: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return _mix(pairs(t, u) * _STEP + v)
+
+
+def before(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words one and two before each of texts in a row; before a text's first stand two ends."""
+    u = np.append(_END, h[:-1])
+    t = np.append(_END, u[:-1])
+    return u, np.where(u == _END, _END, t)
+
+
+_END = np.uint64(_hash(END))
 
 
 class Model:
-    """What a worker needs to score: the filter, the listed words, and small tables read out of the filter."""
+    """What a worker needs to score: the listed words with their exact counts, the letters' table, and a part of the filter."""
 
-    def __init__(self, words: list[bytes], blocks: list[bytes], others: int):
-        self.others = others
-        self.filter = LogFrequencyFilter([np.frombuffer(b, np.uint8) for b in blocks])
+    def __init__(self, words: list[bytes], exact: list[int], letter: np.ndarray, n: int, others: int, once: int):
         self.id = {w: i for i, w in enumerate(words)}
-        n = len(words)
-        self.rare = n  # number of the class of all words that aren't listed
-        c = self.filter.counts(key(WORD, np.arange(n + 1)))
-        c[self.rare] = max(c[self.rare], 1)
-        self.paired = min(PAIRED, n)
-        total = c.sum()
-        one = np.append(c[: self.paired], c[self.paired :].sum())
-        self.one = np.log10(np.maximum(one, 1e-3) / total)  # classes: paired words, and one for all else
-        self.inside = np.log10(np.maximum(c[self.paired :], 1e-3) / max(c[self.paired :].sum(), 1e-3))
-        side = self.paired + 1
-        self.after = np.zeros(side)  # what follows a class, as the filter has it
-        for a in range(0, side, 64):
-            codes = np.arange(a, min(side, a + 64))[:, None] * side + np.arange(side)
-            self.after[a : a + 64] = self.filter.counts(key(PAIR, codes.ravel())).reshape(codes.shape).sum(1)
-        p = np.full((1, LETTERS), 1 / LETTERS)
-        for k in range(1, ORDER + 1):
-            lower, p = p, np.empty((LETTERS ** (k - 1), LETTERS), np.float32)
-            for a in range(0, len(p), 4096):
-                row = np.arange(a, min(len(p), a + 4096))
-                g = self.filter.counts(key(SPELL + k, row[:, None] * LETTERS + np.arange(LETTERS)).ravel()).reshape(-1, LETTERS)
-                kinds = (g > 0).sum(1, keepdims=True) + 1  # Witten and Bell: as much for what is new as there are kinds
-                p[row] = (g + kinds * lower[row % len(lower)]) / (g.sum(1, keepdims=True) + kinds)
-        self.letter = np.log10(p).ravel()
+        self.exact, self.letter, self.n, self.others, self.once = np.array(exact, float), letter, n, others, max(1, once)
+        self.hashes = np.array([_hash(w) for w in words], np.uint64)
 
     def spelled(self, words: list[bytes]) -> np.ndarray:
         """log10 of the chance of each word's letters and its end."""
@@ -166,21 +176,29 @@ class Model:
         owner = np.where(mark, word - 1, word)
         return np.bincount(owner[1:], lp[1:], minlength=len(words))
 
-    def score(self, ids: np.ndarray, spelled: np.ndarray) -> np.ndarray:
-        """log10 probability of each token of texts in a row, each behind the one before (the first behind an end).
+    def score(self, ids: np.ndarray, far: np.ndarray, words: list[bytes], levels: np.ndarray) -> np.ndarray:
+        """log10 probability of each token of texts in a row.
 
-        ids: numbers of the words; spelled: log10 of the letters for those of the rare class, in order.
+        ids: numbers of the listed words, others have the number behind the last, are at the places far
+        and are words; levels: of each token as a single, behind one, and behind two words. Singles mix
+        with the letters, as much for what is new as there are words of one occurrence; pairs with
+        singles, triples with pairs. An n-gram whose parts are not known is a false hit of the filter.
         """
-        cls = np.minimum(ids, self.paired)
-        before = np.append(self.id[END], ids[:-1])
-        context = np.minimum(before, self.paired)
-        pair = self.filter.counts(key(PAIR, context * (self.paired + 1) + cls))
-        out = np.log10(BIGRAM * pair / np.maximum(self.after[context], 1e-9) + (1 - BIGRAM) * 10 ** self.one[cls])
-        far = np.flatnonzero(ids >= self.paired)
-        out[far] += self.inside[ids[far] - self.paired]
-        # A word outside the list is one of the others, all alike, or as likely as its letters: half each.
-        out[ids == self.rare] += np.log10(0.5 * 10.0 ** spelled + 0.5 / self.others)
-        return out
+        c1, c2, c3 = COUNT_OF[levels.reshape(3, -1)]
+        known = ids < len(self.exact)
+        c1[known] = self.exact[ids[known]]
+        spelled = np.zeros(len(ids))
+        spelled[far] = 0.5 * 10.0 ** self.spelled(words) + 0.5 / self.others
+        ends = self.exact[0]  # the end is the first listed word
+        h1 = np.append(ends, c1[:-1])
+        c2 = np.where((c1 > 0) & (h1 > 0), c2, 0)
+        starts = np.append(True, ids[:-1] == 0)
+        h2 = np.where(starts, ends, np.append(0, c2[:-1]))
+        c3 = np.where((c2 > 0) & (h2 > 0), np.minimum(c3, c2), 0)
+        p = (c1 + self.once * spelled) / (self.n + self.once)
+        p = np.maximum(p, 1e-300)
+        p = (c2 + TWO * p) / (np.maximum(h1, c2) + TWO)
+        return np.log10((c3 + THREE * p) / (np.maximum(h2, c3) + THREE))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -200,28 +218,61 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("t").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _pairs(train: DataFrame, words: list[bytes]) -> DataFrame:
-    """(code, n) of the pairs of classes; at most (PAIRED + 1)^2 codes."""
-    shared = train.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words[:PAIRED])})
+def _rows(keys: np.ndarray, counts: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """(block, keys, counts) of distinct keys in order: for each block the differences of their lower bits, and counts, as varints."""
+    block = LogFrequencyFilter.block_of(keys, blocks)
+    by = np.lexsort((keys & _REST, block))
+    block, rest, counts = block[by], keys[by] & _REST, counts[by]
+    heads = np.flatnonzero(np.diff(block, prepend=-1))
+    step = np.diff(rest, prepend=np.uint64(0))
+    step[heads] = rest[heads]
+    cut = np.append(heads, len(keys))
+    (k, at), (c, of) = to_varints(step), to_varints(counts)
+    return pa.RecordBatch.from_arrays([pa.array(block[heads].astype(np.int32)), binaries(k, at[cut]), binaries(c, of[cut])], ["block", "keys", "counts"])
+
+
+def count_ngrams(train: DataFrame, blocks: int) -> DataFrame:
+    """(block, keys, counts): the pairs and triples of words in the texts of the column t, summed over a table of a task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, n = shared.value.get, len(shared.value)
+        number: dict[bytes, int] = {}
         held: list[np.ndarray] = []
+        size = 0
 
         def out() -> pa.RecordBatch:
-            code, count = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(count.astype(np.int64))], ["code", "n"])
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return _rows(keys, counts, blocks)
+
+        for b in (x for batch in batches for x in parts(batch, 0)):
+            flat = [w for t in b.column(0).to_pylist() for w in words_of(t)]
+            for w in set(flat).difference(number):
+                number[w] = _hash(w)
+            h = np.fromiter(map(number.__getitem__, flat), np.uint64, len(flat))
+            if len(number) > 400_000:
+                number.clear()
+            u, t = before(h)
+            held += [pairs(u, h), triples(t, u, h)]
+            size += len(h)
+            if size >= TABLE_TOKENS:
+                yield out()
+                size = 0
+        if held:
+            yield out()
+
+    return train.select("t").mapInArrow(run, "block int, keys binary, counts binary")
 
+
+def count_singles(counts: DataFrame, blocks: int) -> DataFrame:
+    """The words of counts(word, c) in the form of count_ngrams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = np.fromiter((get(w, n) for t in b.column(0).to_pylist() for w in words_of(t)), np.int64)
-            if len(ids):
-                held.append(np.append(get(END, n), ids[:-1]) * (n + 1) + ids)
-            if sum(map(len, held)) > 8_000_000:
-                yield out()
-                held.clear()
-        yield out()
+            keys, first = np.unique(one(np.array([_hash(w) for w in b.column(0).to_pylist()], np.uint64)), return_index=True)
+            if len(keys):
+                yield _rows(keys, b.column(1).to_numpy()[first], blocks)
 
-    return train.select("t").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    return counts.select("word", "c").mapInArrow(run, "block int, keys binary, counts binary")
 
 
 def _letters(counts: DataFrame) -> DataFrame:
@@ -248,22 +299,46 @@ def _letters(counts: DataFrame) -> DataFrame:
     return counts.select("word").mapInArrow(run, "kind int, code bigint, n bigint").groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
 
-def build_filter(ngrams: DataFrame) -> list[bytes]:
-    """The filter's blocks from ngrams(kind, code, n). Blocks are built on the executors; their number of entries is
-    bounded by the classes of pairs and letters, whatever the corpus, and so is the size of what is collected."""
+def letter_table(letters: DataFrame) -> np.ndarray:
+    """log10 P(letter | the ORDER - 1 letters before) over LETTERS^ORDER codes, from letters(kind, code, n), mixed after Witten and Bell."""
+    found = letters.toArrow()  # LETTERS^ORDER rows and those of the lower orders, at most
+    kind, code, n = (found[c].to_numpy() for c in ("kind", "code", "n"))
+    p = np.full((1, LETTERS), 1 / LETTERS)
+    for k in range(1, ORDER + 1):
+        g = np.zeros(LETTERS**k, np.float32)
+        at = kind == SPELL + k
+        g[code[at]] = n[at]
+        g = g.reshape(-1, LETTERS)
+        kinds = (g > 0).sum(1, keepdims=True) + 1
+        p = ((g + kinds * np.tile(p, (len(g) // len(p), 1))) / (g.sum(1, keepdims=True) + kinds)).astype(np.float32)
+    return np.log10(p).ravel()
 
-    def with_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = (b.column(0).to_numpy().astype(np.uint64) << np.uint64(56)) + b.column(1).to_numpy().astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(LogFrequencyFilter.block_of(k)), pa.array(k.view(np.int64)), b.column(2)], ["block", "k", "n"])
 
-    def build(t: pa.Table) -> pa.Table:
-        bits = LogFrequencyFilter.build_block(t["k"].to_numpy().view(np.uint64), t["n"].to_numpy())
-        return pa.table({"block": t["block"].slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+def build_filter(ngrams: DataFrame) -> DataFrame:
+    """(block, bits): the filter's blocks from ngrams(block, keys, counts); a task holds one block's entries, of about BLOCK_TOKENS tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, 1):
+            keys = np.concatenate([np.cumsum(from_varints(x), dtype=np.uint64) for x in t["keys"].to_pylist()])
+            counts = np.concatenate([from_varints(x) for x in t["counts"].to_pylist()]).astype(np.int64)
+            by = np.argsort(keys, kind="stable")
+            keys, counts = keys[by], counts[by]
+            heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            bits = LogFrequencyFilter.build_block(keys[heads], np.add.reduceat(counts, heads))
+            yield pa.RecordBatch.from_arrays([t["block"].slice(0, 1).combine_chunks(), pa.array([bits.tobytes()], pa.binary())], ["block", "bits"])
+
+    return ngrams.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block int, bits binary")
 
-    keyed = ngrams.select(F.col("kind").cast("int"), "code", "n").mapInArrow(with_block, "block bigint, k bigint, n bigint")
-    rows = {r["block"]: bytes(r["bits"]) for r in keyed.groupBy("block").applyInArrow(build, "block bigint, bits binary").collect()}
-    return [rows.get(k, bytes(8)) for k in range(BLOCKS)]
+
+def filter_groups(sizes: dict[int, int], blocks: int, most: int) -> list[tuple[int, list[int]]]:
+    """(first block, sizes of it and its followers) of each part of the filter that has most bytes or is one block."""
+    out: list[tuple[int, list[int]]] = []
+    for b in range(blocks):
+        size = sizes.get(b, 8)
+        if not out or sum(out[-1][1]) + size > most:
+            out.append((b, []))
+        out[-1][1].append(size)
+    return out
 
 
 _MODELS: dict = {}
@@ -272,7 +347,7 @@ _MODELS: dict = {}
 def _model(shared) -> Model:
     if shared.id not in _MODELS:
         _MODELS.clear()
-        _MODELS[shared.id] = Model(*shared.value[:3])
+        _MODELS[shared.id] = Model(*shared.value)
     return _MODELS[shared.id]
 
 
@@ -287,18 +362,18 @@ class _Shared:
         return self.broadcast.value
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     Training texts are those whose id's crc32 modulo MODULUS isn't HELD (a row without an id trains); a
-    null or empty text is its end token. Word counts cover the whole corpus and stay in Spark: the
-    SHORTLIST most frequent words go to the workers with their exact counts, the counts of the others
-    are joined to the documents' rare words. The model mixes pair and single counts of word classes,
-    both read from the filter, and spells words outside the list. Repeated rows get a row each; an
-    empty table gives an empty one.
+    null or empty text is its end token. All words, pairs and triples of the training texts go into the
+    filter with their quantised counts, blocks of it are built on the executors, and its size grows with
+    them; at most broadcast_bytes (or a block) are sent to the workers at once, and a larger filter takes
+    several passes over the texts. The score mixes triples, pairs, singles and letters. Exact word counts,
+    for base_score, go to the workers for the SHORTLIST most frequent words; those of the others are
+    joined to the documents' rare words. Repeated rows get a row each; an empty table gives an empty
+    one; other columns are ignored, whatever their names.
     """
-    import uuid
-
     spark = docs.sparkSession
     bounded_batches(spark)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(id_remainder(F.col(doc_id), MODULUS) == HELD, F.lit(False)).alias("held_out"), F.col(text).cast("binary").alias("t"))
@@ -318,39 +393,80 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     top = sorted(zip(top["word"].to_pylist(), top["c"].to_pylist()), key=lambda r: (r[0] != END, -r[1], r[0])) or [(END, 0)]
     words, exact = [r[0] for r in top], [r[1] for r in top]
     rare = counts.filter(~often)
-    # What isn't listed, and by Good and Turing as much for new words as there are words of one occurrence,
-    # which is also taken for the number of the new words.
-    unlisted, others = n - sum(exact) + once, v - len(exact) + once
-    listed = spark.createDataFrame(pa.table({"kind": pa.array([WORD] * (len(words) + 1), pa.int32()), "code": pa.array(range(len(words) + 1), pa.int64()), "n": pa.array([*exact, unlisted], pa.int64())})).filter("n > 0")
-    ngrams = listed.select(F.col("kind").cast("int"), "code", "n").unionByName(_pairs(train, words).select(F.lit(PAIR).alias("kind"), "code", "n")).unionByName(_letters(counts))
-    shared = _Shared(spark.sparkContext.broadcast((words, build_filter(ngrams), max(1, others), exact, n, v)), uuid.uuid4().hex)
+    others = v - len(exact) + once  # words outside the list, and by Good and Turing as many new ones as there are of one occurrence
+    blocks = max(64, 1 << max(0, -(-n // BLOCK_TOKENS) - 1).bit_length())
+    whole, at = written(build_filter(count_ngrams(train, blocks).unionByName(count_singles(counts, blocks))))
+    sizes = {r[0]: r[1] for r in whole.select("block", F.octet_length("bits")).collect()}  # a number for each block
+    shared = _Shared(spark.sparkContext.broadcast((words, exact, letter_table(_letters(counts)), n, max(1, others), once)), uuid.uuid4().hex)
+
+    def part(first: int, size: list[int]):
+        """The filter's blocks from first on, of at most broadcast_bytes or one block's, for the workers."""
+        bits, ends = np.zeros(sum(size), np.uint8), np.cumsum(size)
+        for r in whole.filter(F.col("block").between(first, first + len(size) - 1)).toLocalIterator():
+            k = r["block"] - first
+            bits[ends[k] - size[k] : ends[k]] = np.frombuffer(r["bits"], np.uint8)
+        return spark.sparkContext.broadcast((bits, size, blocks, first))
+
+    def read_batch(b: pa.RecordBatch, model: Model):
+        each = [words_of(t) for t in b.column(3).to_pylist()]
+        flat = [w for ws in each for w in ws]
+        ids = np.array([model.id.get(w, len(model.exact)) for w in flat], np.int64)
+        far = np.flatnonzero(ids == len(model.exact))
+        odd = [flat[i] for i in far]
+        hashes = np.array([_hash(w) for w in odd], np.uint64)
+        h = np.append(model.hashes, np.uint64(0))[ids]
+        h[far] = hashes
+        return np.array([len(w) for w in each], np.int64), ids, far, odd, hashes, h
+
+    def probed(b: pa.RecordBatch, size: np.ndarray, far: np.ndarray, h: np.ndarray, part: LogFrequencyFilter) -> np.ndarray:
+        """Levels of the batch's n-grams (three rows) from this part and, in the column found, those before."""
+        u, t = before(h)
+        level = np.zeros((3, len(h)), np.uint8)
+        level[0, far] = part.levels(one(h[far]))
+        level[1], level[2] = part.levels(pairs(u, h)), part.levels(triples(t, u, h))
+        if b.num_columns > 4:
+            old = b.column(4).to_pylist()
+            level = np.maximum(level, np.concatenate([np.frombuffer(x, np.uint8).reshape(3, -1) for x in old], axis=1) if old else level)
+        return level
+
+    def look_up(shared_part):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, part = _model(shared), LogFrequencyFilter(*shared_part.value)
+            for b in (x for batch in batches for x in parts(batch, 3)):
+                size, _, far, _, _, h = read_batch(b, model)
+                level, ends = probed(b, size, far, h, part), np.cumsum(size)
+                found = pa.array([level[:, e - k : e].tobytes() for e, k in zip(ends, size)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], found], ["row_id", "doc_id", "held_out", "t", "found"])
+
+        return run
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (_, _, _, exact, n, v) = _model(shared), shared.value
-        base = np.log10((np.append(exact, 0) + 1) / (n + v + 1))
-        get, far = model.id.get, model.rare
-        seen = np.append(np.array(exact) > 0, False)
+        model, part = _model(shared), LogFrequencyFilter(*last.value)
+        base = np.log10((np.append(model.exact, 0) + 1) / (n + v + 1))
+        seen = np.append(model.exact > 0, False)
         for b in (x for batch in batches for x in parts(batch, 3)):
-            each = [words_of(t) for t in b.column(3).to_pylist()]
-            size = np.array([len(w) for w in each], np.int64)
-            flat = [w for ws in each for w in ws]
-            ids = np.array([get(w, far) for w in flat], np.int64)
-            at = np.flatnonzero(ids == far)
-            odd = [flat[i] for i in at]
+            size, ids, far, odd, hashes, h = read_batch(b, model)
             starts = np.cumsum(size) - size
             sums = lambda x: np.add.reduceat(x, starts) if len(x) else np.zeros(0)
-            of = np.repeat(np.arange(len(each)), size)[at]
-            hashes = np.array([_hash(w) for w in odd], np.uint64).view(np.int64)
-            ends = pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=len(each)))).astype(np.int32))
-            known = np.where(ids == far, 0.0, base[ids])  # the rare ones' share is joined
+            of = np.repeat(np.arange(len(size)), size)[far]
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=len(size)))).astype(np.int32))
+            known = np.where(ids == len(model.exact), 0.0, base[ids])  # the rare ones' share is joined
+            score = model.score(ids, far, odd, probed(b, size, far, h, part)) if len(ids) else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(2), pa.array(size), pa.array(sums(seen[ids].astype(np.int64)), pa.int64()), pa.array(sums(known), pa.float64()),
-                 pa.array(sums(model.score(ids, model.spelled(odd))), pa.float64()), pa.ListArray.from_arrays(ends, pa.array(hashes))],
+                 pa.array(sums(score), pa.float64()), pa.ListArray.from_arrays(ends, pa.array(hashes.view(np.int64)))],
                 ["row_id", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "odd"])
 
-    kind = dict(d.dtypes)["doc_id"]
+    kind = d.schema["doc_id"].dataType.simpleString()
     rows = d.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "held_out", "t")
+    *earlier, final = filter_groups(sizes, blocks, broadcast_bytes)
+    for g in earlier:
+        now = part(*g)
+        rows = checkpointed(rows.mapInArrow(look_up(now), f"row_id bigint, doc_id {kind}, held_out boolean, t binary, found binary"))
+        now.unpersist()
+    last = part(*final)
     out = checkpointed(rows.mapInArrow(run, f"row_id bigint, doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, odd array<bigint>"))
+    forget(spark, at)
     least_base = float(np.log10(1 / (n + v + 1)))
     odd = out.select("row_id", F.explode("odd").alias("h")).join(rare.select(F.xxhash64("word").alias("h"), "c"), "h")
     gain = odd.groupBy("row_id").agg(F.count("*").alias("_k"), F.sum(F.log10(F.col("c") + 1)).alias("_g"))

@@ -339,6 +339,19 @@ def test_line_dedup_loses_no_line(spark):
     assert {x for _, t in docs for x in t.split("\n")} == {x for r in got for x in r["text"].split("\n")}
 
 
+def test_links_of_a_bucket_join_the_groups_that_pairs_join():
+    rng = np.random.default_rng(13)
+    sets = [np.unique(rng.choice(60, rng.integers(20, 40))).astype(np.int64) for _ in range(40)]
+    roots = [k // 2 for k in range(40)]
+    found = simhash_dedup._links(np.array([len(x) for x in sets]), np.concatenate(sets), roots, 0.4)
+    close = lambda a, b: len(set(a) & set(b)) >= 0.4 * len(set(a) | set(b))
+    every = [(i, j) for i in range(40) for j in range(i) if close(sets[i], sets[j])]
+    given = [(2 * r, 2 * r + 1) for r in range(20)]
+    assert all(close(sets[i], sets[j]) for i, j in found) and len(found) < 20 < len(every)
+    parts = lambda links: {frozenset(n for n in range(40) if classes(range(40), links)[n] == r) for r in classes(range(40), links).values()}
+    assert parts(found + given) == parts(every + given)
+
+
 def test_line_dedup_of_odd_rows(spark):
     got = line_dedup.dedup_lines(odd(spark).withColumn("n_lines", F.lit("clash")))
     assert got.count() == len(ODD) and dict(got.dtypes)["n_lines"] == "bigint" and "score" in got.columns
@@ -350,19 +363,50 @@ def test_line_dedup_of_odd_rows(spark):
 
 def test_filter_never_loses_a_count():
     rng = np.random.default_rng(2)
-    keys, counts = rng.integers(0, 2**63, 5000).astype(np.uint64), rng.integers(1, 3000, 5000)
-    block = lm_scoring.LogFrequencyFilter.block_of(keys)
-    f = lm_scoring.LogFrequencyFilter([lm_scoring.LogFrequencyFilter.build_block(keys[block == b], counts[block == b]) for b in range(lm_scoring.BLOCKS)])
-    got = f.counts(keys)
-    true = 0.75 * 2.0 ** (np.floor(np.log2(counts)) + 1)
+    keys, counts, blocks = np.unique(rng.integers(0, 2**64, 5000, np.uint64)), rng.integers(1, 3000, 5000), 8
+    block, rest = lm_scoring.LogFrequencyFilter.block_of(keys, blocks), keys & lm_scoring._REST
+    built = [lm_scoring.LogFrequencyFilter.build_block(rest[block == b], counts[block == b]) for b in range(blocks)]
+    f = lm_scoring.LogFrequencyFilter(np.concatenate(built), [len(x) for x in built], blocks)
+    got, true = f.levels(keys), 1 + np.floor(np.log2(counts))
     assert (got >= true).all() and (got == true).mean() > 0.95
-    absent = f.counts(rng.integers(0, 2**63, 5000).astype(np.uint64))
-    assert (absent > 0).mean() < 0.02 and f.counts(np.zeros(0, np.uint64)).shape == (0,)
+    assert (f.levels(rng.integers(0, 2**64, 5000, np.uint64)) > 0).mean() < 0.03 and f.levels(np.zeros(0, np.uint64)).shape == (0,)
+    half = [lm_scoring.LogFrequencyFilter(np.concatenate(built[a : a + 4]), [len(x) for x in built[a : a + 4]], blocks, a) for a in (0, 4)]
+    assert (np.maximum(half[0].levels(keys), half[1].levels(keys)) == got).all()
+
+
+def test_scores_equal_brute_force(spark):
+    rng = np.random.default_rng(12)
+    docs = [(k, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, rng.integers(0, 60)) % 500)) for k in range(150)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    words = {i: lm_scoring.words_of(t.encode()) for i, t in docs}
+    c1, c2, c3 = Counter(), Counter(), Counter()
+    behind = lambda w: [(b" ", b" ", *w)[k : k + 3] for k in range(len(w))]
+    for i, w in words.items():
+        if not held(i):
+            c1.update(w), c2.update(x[1:] for x in behind(w)), c3.update(behind(w))
+    n, once = sum(c1.values()), sum(x == 1 for x in c1.values())
+    level = lambda c: lm_scoring.COUNT_OF[int(math.log2(c)) + 1] if c else 0.0
+    want = {}
+    for i, w in words.items():
+        want[i] = 0.0
+        for t, u, x in behind(w):
+            if not c1[x]:  # spelled: left out here
+                want[i] = None
+                break
+            p = c1[x] / (n + once)
+            two = level(c2[u, x]) if c1[u] else 0.0
+            p = (two + lm_scoring.TWO * p) / (max(c1[u], two) + lm_scoring.TWO)
+            context = c1[b" "] if u == b" " else level(c2[t, u])
+            three = min(level(c3[t, u, x]), two) if two and context else 0.0
+            want[i] += math.log10((three + lm_scoring.THREE * p) / (max(context, three) + lm_scoring.THREE))
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), broadcast_bytes=1 << 10).collect()}
+    known = [i for i in got if want[i] is not None]
+    assert len(known) > 100 and sum(abs(got[i] - want[i]) < 0.02 * abs(want[i]) + 1e-6 for i in known) > 0.9 * len(known)
 
 
 @pytest.mark.parametrize("listed", [1 << 18, 40])
 def test_scores(spark, sf, monkeypatch, listed):
-    monkeypatch.setattr(lm_scoring, "SHORTLIST", listed)
+    monkeypatch.setattr(lm_scoring, "SHORTLIST", listed)  # the model is the same, but for the rounding of rarer words' counts
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(odd(spark).select("doc_id", "text"))
     rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
@@ -374,7 +418,7 @@ def test_scores(spark, sf, monkeypatch, listed):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got) == expect
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
     if listed > 1000:
-        assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"]) * 1.02
+        assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"]) * 0.95
 
 
 def test_scores_of_no_rows(spark):
