@@ -57,7 +57,7 @@ def test_bands_cover_the_whole_network(spark):
     for d in (1, 2, 3):
         edge = {b for a in edge for b in near.get(a, ())} - want.keys()
         want |= dict.fromkeys(edge, d)
-    assert {r["node"]: r["distance"] for r in catalog.queries()["band_bfs_whole"](spark, SF).collect()} == want
+    assert {r["node"]: r["distance"] for r in catalog.queries()["band_bfs"](spark, SF).collect()} == want
     zero = net.cut_value(net.terminals.selectExpr("node", "0 AS label")).first()["value"]
     assert catalog.queries()["band_mincut"](spark, SF).first()["before"] == zero
 
