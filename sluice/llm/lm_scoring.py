@@ -72,7 +72,7 @@ class LogFrequencyFilter:
         self.bits, self.first, self.shift = bits, first, np.uint64(64 - (blocks.bit_length() - 1))
         self.size = np.array(sizes, np.uint64) * np.uint64(8)
         self.base = (np.cumsum(self.size) - self.size).astype(np.uint64)
-        self.blocks = blocks
+        self.blocks, self.whole = blocks, len(sizes) == blocks
 
     @staticmethod
     def spots(rest: np.ndarray, level: int, size: np.ndarray) -> Iterator[np.ndarray]:
@@ -218,15 +218,18 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("t").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _rows(keys: np.ndarray, counts: np.ndarray, blocks: int) -> pa.RecordBatch:
-    """(block, keys, counts) of distinct keys in order: for each block the differences of their lower bits, and counts, as varints."""
-    block = LogFrequencyFilter.block_of(keys, blocks)
-    by = np.lexsort((keys & _REST, block))
-    block, rest, counts = block[by], keys[by] & _REST, counts[by]
+def _placed(keys: np.ndarray, blocks: int) -> np.ndarray:
+    """Keys in the order of blocks: the block, and behind it the 40 bits that are looked up in it."""
+    return LogFrequencyFilter.block_of(keys, blocks).astype(np.uint64) << np.uint64(40) | keys & _REST
+
+
+def _rows(placed: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """(block, keys, counts) of distinct placed keys in order: for each block the differences of their lower bits, and counts, as varints."""
+    block, rest = (placed >> np.uint64(40)).astype(np.int64), placed & _REST
     heads = np.flatnonzero(np.diff(block, prepend=-1))
     step = np.diff(rest, prepend=np.uint64(0))
     step[heads] = rest[heads]
-    cut = np.append(heads, len(keys))
+    cut = np.append(heads, len(placed))
     (k, at), (c, of) = to_varints(step), to_varints(counts)
     return pa.RecordBatch.from_arrays([pa.array(block[heads].astype(np.int32)), binaries(k, at[cut]), binaries(c, of[cut])], ["block", "keys", "counts"])
 
@@ -240,9 +243,10 @@ def count_ngrams(train: DataFrame, blocks: int) -> DataFrame:
         size = 0
 
         def out() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            keys = np.sort(_placed(np.concatenate(held), blocks))
             held.clear()
-            return _rows(keys, counts, blocks)
+            heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            return _rows(keys[heads], np.diff(heads, append=len(keys)))
 
         for b in (x for batch in batches for x in parts(batch, 0)):
             flat = [w for t in b.column(0).to_pylist() for w in words_of(t)]
@@ -268,9 +272,9 @@ def count_singles(counts: DataFrame, blocks: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, first = np.unique(one(np.array([_hash(w) for w in b.column(0).to_pylist()], np.uint64)), return_index=True)
+            keys, first = np.unique(_placed(one(np.array([_hash(w) for w in b.column(0).to_pylist()], np.uint64)), blocks), return_index=True)
             if len(keys):
-                yield _rows(keys, b.column(1).to_numpy()[first], blocks)
+                yield _rows(keys, b.column(1).to_numpy()[first])
 
     return counts.select("word", "c").mapInArrow(run, "block int, keys binary, counts binary")
 
@@ -423,7 +427,10 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         u, t = before(h)
         level = np.zeros((3, len(h)), np.uint8)
         level[0, far] = part.levels(one(h[far]))
-        level[1], level[2] = part.levels(pairs(u, h)), part.levels(triples(t, u, h))
+        level[1] = part.levels(pairs(u, h))
+        # A triple without its pair doesn't count; where the whole filter is here it needs no look.
+        look = np.flatnonzero(level[1]) if part.whole else np.arange(len(h))
+        level[2, look] = part.levels(triples(t[look], u[look], h[look]))
         if b.num_columns > 4:
             old = b.column(4).to_pylist()
             level = np.maximum(level, np.concatenate([np.frombuffer(x, np.uint8).reshape(3, -1) for x in old], axis=1) if old else level)
