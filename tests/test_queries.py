@@ -62,8 +62,9 @@ def test_bands_cover_the_whole_network(spark):
     assert catalog.queries()["band_mincut"](spark, SF).first()["before"] == zero
 
 
-def test_entry_without_the_training_data_operators(tmp_path):
-    for p in ("sluice", "__spark_entry__.py"):
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",)])
+def test_entry_without_the_training_data_operators(tmp_path, left):
+    for p in ("sluice", "__spark_entry__.py", *(x for x in left if (ROOT / x).exists())):
         (shutil.copytree if (ROOT / p).is_dir() else shutil.copy)(ROOT / p, tmp_path / p)
     shutil.rmtree(tmp_path / "sluice/llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'arc_merge' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
