@@ -17,8 +17,20 @@ BUCKETS = 1 << 20
 
 
 def word_count(line: Column, enough: int) -> Column:
-    """A line's words, or any number from `enough` on if it has so many: the end of a long line isn't read."""
-    count = lambda c: F.regexp_count(c, F.lit(f"[^{SPACE}]+"))
+    """A line's words, or any number from `enough` on if it has so many: the end of a long line isn't read.
+
+    Where single spaces alone part the words they are counted by their spaces, which needs no array of words.
+    """
+    def words_in(bare: Column) -> Column:
+        plain = ~F.contains(bare, F.lit("  "))
+        for other in "\t\n\x0b\f\r":
+            plain = plain & ~F.contains(bare, F.lit(other))
+        spaces = F.octet_length(bare) - F.octet_length(F.replace(bare, F.lit(" "), F.lit("")))
+        return F.when(bare == "", 0).when(plain, spaces + 1).otherwise(F.regexp_count(bare, F.lit(f"[^{SPACE}]+")))
+
+    def count(c: Column) -> Column:
+        return F.get(F.transform(F.array(F.trim(c)), words_in), F.lit(0))  # as a lambda's variable the text is cut once
+
     head = 8 * enough
     return F.when(F.length(line) <= head, count(line)).when(count(F.substring(line, 1, head)) >= enough, F.lit(enough)).otherwise(count(line))
 
@@ -33,24 +45,18 @@ def line_chunks(docs: DataFrame, text: Column, long_line: int = LONG_LINE) -> Da
     lines, are eligible.
     """
     df = computed(docs, _lines=F.split(F.coalesce(text, F.lit("")), "\n"))
-    df = computed(df, _h=F.transform("_lines", lambda s: F.xxhash64(s)), _long=F.transform("_lines", lambda s: word_count(s, long_line) >= long_line))
-    n = F.size("_lines")
-    # after[i] for i = 0 .. n-2: whether a boundary stands between line i and i + 1
-    one = F.lit(1)
-    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("_h", one, n - 1))
-    top = F.array(F.lit((1 << 63) - 1))  # no pair ends with line 0
-    df = computed(df, _r=F.concat(top, F.slice(F.zip_with("_h", before, lambda h, b: F.xxhash64(b, h)), 2, n)))
-    df = computed(df, _low=F.zip_with("_r", F.concat(top, F.slice("_r", one, n - 1)), lambda r, p: r < p), _next=F.concat(F.slice("_r", 2, n), top))
-    df = computed(df, _cut=F.zip_with("_low", F.zip_with("_r", "_next", lambda r, q: r < q), lambda a, b: a & b))
-    after = F.zip_with(F.zip_with("_cut", "_long", lambda c, l: c | l), F.slice(F.concat("_long", F.array(F.lit(False))), 2, n), lambda c, l: c | l)
-    df = computed(df, _after=after)
-    df = computed(df, _starts=F.filter(F.transform(F.concat(F.array(F.lit(True)), F.slice("_after", one, n - 1)), lambda b, i: F.when(b, i)), lambda i: i.isNotNull()))
-    spans = F.zip_with("_starts", F.concat(F.slice("_starts", 2, F.size("_starts")), F.array(n)), lambda a, b: F.struct(a.alias("a"), (b - a).alias("n")))
-    df = computed(df, _spans=spans)
-    # One pass over the spans; _lines and _long stand still, as generated columns they aren't evaluated again.
-    chunks = F.transform("_spans", lambda s: F.struct(
-        F.array_join(F.slice("_lines", s.a + 1, s.n), "\n").alias("chunk"), s.a.alias("start"), s.n.alias("lines"), ((s.n > 1) | F.get("_long", s.a)).alias("eligible")))
-    return computed(df, _chunks=chunks).drop("_lines", "_h", "_long", "_r", "_low", "_next", "_cut", "_after", "_starts", "_spans")
+    # A line of fewer bytes than so many words need isn't counted.
+    is_long = lambda s: F.when(F.octet_length(s) < 2 * long_line - 1, F.lit(False)).otherwise(word_count(s, long_line) >= long_line)
+    df = computed(df, _h=F.transform("_lines", lambda s: F.xxhash64(s)), _long=F.transform("_lines", is_long))
+    df = computed(df, _r=F.transform("_h", lambda h, i: F.when(i == 0, F.lit((1 << 63) - 1)).otherwise(F.xxhash64(F.get("_h", i - 1), h))))  # no pair ends with line 0
+    # Columns that are generated stand still: looking up an element doesn't evaluate them again.
+    low = lambda i: F.coalesce(F.get("_r", i) < F.get("_r", i - 1), F.lit(False)) & (F.get("_r", i) < F.get("_r", i + 1))
+    begins = lambda i: (i == 0) | F.get("_long", i) | F.get("_long", i - 1) | low(i - 1)
+    df = computed(df, _starts=F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), begins))
+    lines = lambda a, k: F.coalesce(F.get("_starts", k + 1), F.size("_lines")) - a
+    chunks = F.transform("_starts", lambda a, k: F.struct(
+        F.array_join(F.slice("_lines", a + 1, lines(a, k)), "\n").alias("chunk"), a.alias("start"), lines(a, k).alias("lines"), ((lines(a, k) > 1) | F.get("_long", a)).alias("eligible")))
+    return computed(df, _chunks=chunks).drop("_lines", "_h", "_long", "_r", "_starts")
 
 
 def windows(docs: DataFrame, words: int) -> DataFrame:
@@ -62,9 +68,10 @@ def windows(docs: DataFrame, words: int) -> DataFrame:
     depend on nothing outside. So it is found at any offset. Blank lines begin and end no window and
     are not compared; those inside one are part of it.
     """
-    lines = docs.select("_id", "_th", F.posexplode(F.split("_text", "\n")).alias("_pos", "_line"))
-    lines = lines.select("_id", "_th", "_pos", word_count(F.col("_line"), words).cast("long").alias("_w"), F.xxhash64("_line").alias("_g"), F.xxhash64(F.lit(1), "_line").alias("_m")).filter("_w > 0")
-    lines = lines.groupBy("_id", "_th", "_pos").agg(F.first("_w").alias("_w"), F.first("_g").alias("_g"), F.first("_m").alias("_m")).withColumn("_m", F.concat(F.hex("_g"), F.lit("."), F.hex("_m"))).drop("_g")  # equal rows are one document
+    each = F.transform(F.split("_text", "\n"), lambda s, i: F.struct(i.alias("_pos"), word_count(s, words).cast("long").alias("_w"), F.xxhash64(s).alias("_g"), F.xxhash64(F.lit(1), s).alias("_m")))
+    # Equal rows are one document; they meet by document and not by line, so that what follows needs no other shuffle.
+    lines = docs.select("_id", "_th", each.alias("_ls")).groupBy("_id", "_th").agg(F.first("_ls").alias("_ls")).select("_id", "_th", F.inline("_ls")).filter("_w > 0")
+    lines = lines.select("_id", "_th", "_pos", "_w", F.concat(F.hex("_g"), F.lit("."), F.hex("_m")).alias("_m"))
     doc = W.partitionBy("_id", "_th")
     lines = lines.withColumn("_upto", F.sum("_w").over(doc.orderBy("_pos"))).withColumn("_before", F.expr("_upto - _w"))
     ahead, back = doc.orderBy("_before").rangeBetween(0, words - 1), doc.orderBy("_upto").rangeBetween(1 - words, 0)
