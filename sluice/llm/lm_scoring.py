@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ SHORTLIST = 1 << 18
 #: Weights, as so many tokens, of the lower order in the mixtures of bigrams and trigrams; letters of a spelled word.
 TWO, THREE, ORDER = 1000.0, 5.0, 4
 #: Counts are quantised to powers of two; each level of an n-gram is a member of the filter.
-BITS, HASHES, LEVELS = 12, 3, 48
+BITS, HASHES, LEVELS = 12, 4, 48
 #: Training tokens to a block of the filter, and to a task's table of n-grams.
 BLOCK_TOKENS, TABLE_TOKENS = 1 << 21, 1 << 21
 #: Bytes of the filter that are broadcast at once; a larger one is probed in several passes over the texts.
@@ -65,21 +66,24 @@ class LogFrequencyFilter:
     """A blocked Bloom filter: an n-gram of count c is in it with the levels 1 .. 1 + floor(log2 c).
 
     A count is read by probing level after level until one is missing. A key's upper bits name its
-    block, the lower 40 are looked up in it. first: the number of the first block that is held.
+    block, the lower 40 are looked up in it; a level's bits stand in one word of 64, so that a probe
+    reads memory once. first: the number of the first block that is held.
     """
 
     def __init__(self, bits: np.ndarray, sizes: list[int], blocks: int, first: int = 0):
-        self.bits, self.first, self.shift = bits, first, np.uint64(64 - (blocks.bit_length() - 1))
-        self.size = np.array(sizes, np.uint64) * np.uint64(8)
+        self.bits, self.first = bits.view(np.uint64), first
+        self.size = np.array(sizes, np.uint64) >> np.uint64(3)
         self.base = (np.cumsum(self.size) - self.size).astype(np.uint64)
         self.blocks, self.whole = blocks, len(sizes) == blocks
 
     @staticmethod
-    def spots(rest: np.ndarray, level: int, size: np.ndarray) -> Iterator[np.ndarray]:
-        h = _mix(rest + np.uint64((level * 0x9E3779B97F4A7C15) & (2**64 - 1)))
-        a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-        for k in range(HASHES):
-            yield (a + np.uint64(k) * b) % size
+    def hashed(rest: np.ndarray, level: int) -> np.ndarray:
+        return _mix(rest + np.uint64((level * 0x9E3779B97F4A7C15) & (2**64 - 1)))
+
+    @staticmethod
+    def places(h: np.ndarray) -> list[np.ndarray]:
+        """The bits of a word that hashes set: their lowest parts of six bits; the upper half chooses the word."""
+        return [(h >> np.uint64(6 * k)) & np.uint64(63) for k in range(HASHES)]
 
     @staticmethod
     def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
@@ -91,11 +95,13 @@ class LogFrequencyFilter:
         size = max(64, -(-int(levels.sum()) * BITS // 64) * 64)
         bits = np.zeros(size, bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
-            for s in LogFrequencyFilter.spots(rest[levels >= level], level, np.uint64(size)):
-                bits[s.astype(np.int64)] = True
+            h = LogFrequencyFilter.hashed(rest[levels >= level], level)
+            word = ((h >> np.uint64(32)) * np.uint64(size // 64) >> np.uint64(32)) << np.uint64(6)
+            for place in LogFrequencyFilter.places(h):
+                bits[(word | place).astype(np.int64)] = True
         return np.packbits(bits, bitorder="little")
 
-    def levels(self, keys: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    def levels(self, keys: np.ndarray, step: int = 1 << 15) -> np.ndarray:
         """The highest level of each key in the filter, probed step keys at a time; 0 for one that isn't in it or in another block."""
         return np.concatenate([self._levels(keys[a : a + step]) for a in range(0, len(keys), step)] or [np.zeros(0, np.uint8)])
 
@@ -106,12 +112,11 @@ class LogFrequencyFilter:
         block, rest = block[alive], keys[alive] & _REST
         size, base = self.size[block], self.base[block]
         for j in range(1, LEVELS + 1):
-            left = np.arange(len(alive))
-            h = _mix(rest + np.uint64((j * 0x9E3779B97F4A7C15) & (2**64 - 1)))
-            a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-            for k in range(HASHES):  # most keys that aren't in it end at their first spot
-                s = (a[left] + np.uint64(k) * b[left]) % size[left] + base[left]
-                left = left[(self.bits[(s >> np.uint64(3)).astype(np.int64)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            h = self.hashed(rest, j)
+            mask = np.zeros(len(h), np.uint64)
+            for place in self.places(h):
+                mask |= np.uint64(1) << place
+            left = np.flatnonzero((self.bits[((h >> np.uint64(32)) * size >> np.uint64(32)) + base] & mask) == mask)
             alive, rest, size, base = alive[left], rest[left], size[left], base[left]
             if not len(alive):
                 break
@@ -414,7 +419,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def read_batch(b: pa.RecordBatch, model: Model):
         each = [words_of(t) for t in b.column(3).to_pylist()]
         flat = [w for ws in each for w in ws]
-        ids = np.array([model.id.get(w, len(model.exact)) for w in flat], np.int64)
+        ids = np.fromiter(map(model.id.get, flat, repeat(len(model.exact))), np.int64, len(flat))
         far = np.flatnonzero(ids == len(model.exact))
         odd = [flat[i] for i in far]
         hashes = np.array([_hash(w) for w in odd], np.uint64)
