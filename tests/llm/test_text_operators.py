@@ -147,7 +147,7 @@ def test_many_windows_of_few_words_stay_small(spark):
     items = [(f"{k}", digits(10)) for k in range(5000)] + [("in", " ".join(doc.split()[777:787]))] + [(f"p{k}", "one shared prompt that every item of this set begins with " + str(k)) for k in range(3000)]
     got = decon.find_contamination(spark.createDataFrame([(1, doc), (2, "One shared prompt that every item of this set begins with 7!")], "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"))
     rows = {r["doc_id"]: r for r in got.collect()}
-    assert "in" in rows[1]["items"] and rows[1]["n_hit"] >= 10 and rows[2]["n_items"] == 3000 and rows[2]["n_hit"] == 11
+    assert "in" in rows[1]["items"] and rows[1]["n_hit"] >= 10 and rows[2]["n_items"] == 3000 and rows[2]["n_hit"] == 12  # its last word is in the third window of p7
 
 
 def test_decontamination_equals_its_sql(same):
