@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 from sluice.llm.common import apart, bounded_batches, checkpointed, groups, read
 from sluice.llm.components import connected_components
 
-#: The pipeline's stage links texts whose sets of five-word shingles have this similarity (Jaccard) at least.
+#: SimHash is of shingles of so many words.
+SHINGLE = 3
+#: The pipeline's stage links texts whose sets of five-word shingles have this similarity (Jaccard) at least;
+#: those that SimHash finds need it of its own shingles.
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
-#: Candidates share one of BANDS bands of ROWS minima each: a pair at 0.8 is missed with (1 - 0.8^5)^45 = 2e-8, one above less often.
+#: The other candidates share one of BANDS bands of ROWS minima each: a pair at 0.8 is missed with (1 - 0.8^5)^45 = 2e-8, one above less often.
 BANDS, ROWS = 45, 5
 #: Texts of a bucket are compared with each other in blocks of so many texts and shingles.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 22
@@ -55,7 +58,7 @@ def _simhash(texts: list[bytes | None], shingle: int, seed: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, seeds: tuple[int, ...] = (42,), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seeds: tuple[int, ...] = (42,), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, f0, f1, ... (long), one fingerprint for each seed; and th, a 64-bit hash of the text.
 
     Words are runs of anything but ASCII white space after A-Z are lower-cased; a text of fewer words
@@ -91,7 +94,13 @@ def within_two(words: DataFrame, bits: int, table: str | None = None) -> DataFra
     return star.select(*keys, F.col("w").alias("a"), "b").distinct().filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
 
 
-def simhash_components(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprint_components(nodes: DataFrame) -> DataFrame:
+    """nodes, a row for each fingerprint (column fp), with root: the least fingerprint that links of two bits or fewer reach."""
+    found = connected_components(within_two(nodes.select(F.col("fp").alias("w")), 64))
+    return nodes.join(found, nodes["fp"] == found["node"], "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
+
+
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for each row of docs.
 
     64-bit fingerprints link at two or fewer differing bits; component_id is the least doc_id that can
@@ -100,8 +109,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id"
     """
     fps = checkpointed(fingerprints(docs, shingle, (42,), doc_id, text).select("doc_id", F.col("f0").alias("fp")))
     nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = connected_components(within_two(nodes.select(F.col("fp").alias("w")), 64))
-    named = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = fingerprint_components(nodes)
     named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -127,9 +135,10 @@ def _bands(minima: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, shingle: int = STAGE_SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, th (a 64-bit hash of the text), node (one of the set of shingles), size (of the set), bands (their keys).
+    """doc_id, th (a 64-bit hash of the text), node (one of the set of shingles), size (of the set), bands (their keys), fp.
 
-    Words and shingles are those of fingerprints; a text without words has an empty set and no bands.
+    Words and shingles are those of fingerprints, and fp is the fingerprint of simhash_components; a text
+    without words has an empty set and no bands.
     """
     bounded_batches(docs.sparkSession)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("th"), F.col(text).cast("binary").alias("t"))
@@ -146,20 +155,21 @@ def shingle_sets(docs: DataFrame, shingle: int = STAGE_SHINGLE, doc_id: str = "d
                     least.append(_minima(h))
             keys = iter(_bands(np.array(least, np.uint32)).tolist() if least else [])
             bands = pa.array([next(keys) if n else [] for n in size], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), bands], ["doc_id", "th", "node", "size", "bands"])
+            fp = pa.array(_simhash(b.column(2).to_pylist(), SHINGLE, 42))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), bands, fp], ["doc_id", "th", "node", "size", "bands", "fp"])
 
-    return d.mapInArrow(run, f"doc_id {kinds['doc_id']}, th bigint, node bigint, size bigint, bands array<bigint>")
+    return d.mapInArrow(run, f"doc_id {kinds['doc_id']}, th bigint, node bigint, size bigint, bands array<bigint>, fp bigint")
 
 
-def similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts (node, t) have sets of shingles of the similarity at least, compared by their bytes."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
+def similar(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, shingle) of nodes whose texts (node, t) have sets of shingles of so many words of the similarity at least, compared by their bytes."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb", "shingle")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = set(_shingles(x.as_py(), shingle)), set(_shingles(y.as_py(), shingle))
+            for x, y, n in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist()):
+                x, y = set(_shingles(x.as_py(), n)), set(_shingles(y.as_py(), n))
                 both = len(x & y)
                 linked.append(both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
@@ -204,8 +214,8 @@ def _links(sizes: np.ndarray, sets: np.ndarray, roots: list[int], similarity: fl
     return out
 
 
-def links_in_buckets(mixed: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Verified links (a, b) among the texts of each bucket of mixed(key, node, size, root, blocks), where groups (root) differ.
+def links_in_buckets(mixed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Verified links (a, b) among the texts of each bucket of mixed(shingle, key, node, size, root, blocks), where groups (root) differ.
 
     Every two texts of a bucket are compared, in blocks of bounded texts and shingles, so a large bucket
     is many tasks; only links that join two groups leave a task, at most as many as it has groups. Sets
@@ -216,16 +226,17 @@ def links_in_buckets(mixed: DataFrame, texts: DataFrame, shingle: int, similarit
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
-                sets = [np.unique(np.array(list(map(xxhash.xxh64_intdigest, _shingles(t.as_py(), shingle))), np.uint64)).view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+                sets = [np.unique(np.array(list(map(xxhash.xxh64_intdigest, _shingles(t.as_py(), n))), np.uint64)).view(np.int64) for t, n in zip(part.column(1), part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingle", "set"])
 
-    sets = texts.join(mixed.select("node").distinct(), "node").select("node", "t").mapInArrow(hashed, "node bigint, set array<bigint>")
+    sets = texts.join(mixed.select("node", "shingle").distinct(), "node").select("node", "t", "shingle").mapInArrow(hashed, "node bigint, shingle int, set array<bigint>")
     dealt = mixed.withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "node", "root").join(checkpointed(sets), "node")
-    dealt = dealt.select("key", "low", "high", "node", "root", "set").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    dealt = dealt.select("shingle", "key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "node", "root").join(checkpointed(sets), ["node", "shingle"])
+    bucket = ["shingle", "key", "low", "high"]
+    dealt = dealt.select(*bucket, "node", "root", "set").repartition(*bucket).sortWithinPartitions(*bucket, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, 3):
+        for t in groups(batches, 4):
             sets = t["set"].combine_chunks()
             sets = sets if isinstance(sets, pa.ListArray) else pa.concat_arrays(sets.chunks)
             found = _links(np.diff(sets.offsets.to_numpy()), sets.flatten().to_numpy(), t["root"].to_pylist(), similarity)
@@ -240,9 +251,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, th, copies, keep for each (doc_id, text): whether it is the one of its group that stays.
 
     Texts are linked if their sets of shingles are similar enough; a link is verified on the sets
-    themselves. SimHash can't find the candidates: at a similarity of 0.8 128 bits differ in 19 on
-    average and often in 30, and bands so narrow that one is surely equal select nothing. So texts
-    that share a band of minima are candidates. In a bucket all are compared with the least; then, where
+    themselves. SimHash comes first: the components of simhash_components are buckets, whose texts are
+    compared by the three-word shingles that its fingerprints are of. It can't find all the rest: at a
+    similarity of 0.8 of five-word shingles 64 bits differ in nine on average, and balls or bands that
+    reach so far select nothing. So texts that share a band of minima are in a bucket as well, compared
+    by five-word shingles. In a bucket all are compared with the least; then, where
     that leaves several groups, all with each other in blocks, of which only the links that join two groups
     go on: a group of thousands of near copies takes a link each. Texts of equal sets are one node.
     The least (doc_id, text hash) of a group stays; copies counts equal rows.
@@ -250,21 +263,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = checkpointed(shingle_sets(docs, shingle, doc_id, text))
     fps = sets.groupBy("doc_id", "th", "node").agg(F.count("*").alias("copies"))
     nodes = sets.groupBy("node").agg(F.min("size").alias("size"), F.first("bands").alias("bands"), F.min("th").alias("th"))
-    each = nodes.select("node", "size", F.explode("bands").alias("key"))
-    heads = each.groupBy("key").agg(F.min(F.struct("node", "size")).alias("head"), F.count("*").alias("n")).filter("n > 1")
-    members = checkpointed(each.join(heads, "key").select("key", "node", "size", "head"))
-    close = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
-    stars = checkpointed(members.filter("node <> head.node").filter(close(F.col("size"), F.col("head.size"))).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct())
+    by_bands = nodes.select("node", "size", F.lit(shingle).alias("shingle"), F.explode("bands").alias("key"))
+    prints = sets.select("node", "size", "fp").distinct()
+    by_simhash = prints.join(fingerprint_components(checkpointed(prints.select("fp").distinct())), "fp").select("node", "size", F.lit(SHINGLE).alias("shingle"), F.col("root").alias("key")).distinct()
+    bucket = ["shingle", "key"]
+    each = by_simhash.unionByName(by_bands)
+    heads = each.groupBy(*bucket).agg(F.min(F.struct("node", "size")).alias("head"), F.count("*").alias("n")).filter("n > 1")
+    members = checkpointed(each.join(heads, bucket).select(*bucket, "node", "size", "head"))
+    # by five-word shingles the sizes alone tell some apart; a set of three-word shingles has another size
+    close = lambda x, y: (F.col("shingle") != shingle) | (F.least(x, y) >= F.lit(similarity) * F.greatest(x, y))
+    stars = checkpointed(members.filter("node <> head.node").filter(close(F.col("size"), F.col("head.size"))).select(F.col("node").alias("a"), F.col("head.node").alias("b"), "shingle").distinct())
     # of the texts with one set of shingles any will do
     wanted = members.select("node").distinct().join(nodes.select("node", "th"), "node")
     texts = docs.select(F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("t")).join(wanted, "th").groupBy("node").agg(F.min("t").alias("t"))
     texts = checkpointed(texts)
-    links = checkpointed(similar(stars, texts, shingle, similarity))
+    links = checkpointed(similar(stars, texts, similarity))
     found = connected_components(links)
-    grouped = members.join(found, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("size").alias("sum")).filter("low <> high")
-    mixed = checkpointed(grouped.join(mixed.select("key", F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("sum") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "key"))
-    found = connected_components(links.unionByName(links_in_buckets(mixed, texts, shingle, similarity)))
+    grouped = members.join(found, "node", "left").select(*bucket, "node", "size", F.coalesce("root", "node").alias("root"))
+    mixed = grouped.groupBy(*bucket).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("size").alias("sum")).filter("low <> high")
+    mixed = checkpointed(grouped.join(mixed.select(*bucket, F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("sum") / BLOCK_SHINGLES)).cast("int").alias("blocks")), bucket))
+    found = connected_components(links.unionByName(links_in_buckets(mixed, texts, similarity)))
     labelled = fps.join(found, "node", "left").select("doc_id", "th", "copies", F.coalesce("root", "node").alias("root"))
     labelled = checkpointed(labelled)
     stays = labelled.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("s")).select("s.*")

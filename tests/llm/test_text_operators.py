@@ -246,6 +246,24 @@ def test_near_duplicates_at_the_threshold_are_found(spark):
     assert kept == {a for a, _ in linked[:40]} | set(apart)
 
 
+def test_near_duplicates_come_out_of_simhash_too(spark):
+    rng = np.random.default_rng(11)
+    docs, alike = [], []
+    while len(docs) < 12:  # a word of 45 changed: too few five-word shingles are left, of three words enough; SimHash has some such pairs within two bits
+        t = [f"w{k}" for k in rng.integers(0, 5000, 45)]
+        u = [*t[:22], "new", *t[23:]]
+        if bin(fingerprint(" ".join(t)) ^ fingerprint(" ".join(u))).count("1") <= 2:
+            five, three = ([set(zip(*[x[k:] for k in range(n)])) for x in (t, u)] for n in (5, 3))
+            alike.append([len(x & y) / len(x | y) for x, y in (five, three)])
+            docs += [(len(docs), " ".join(t)), (len(docs) + 1, " ".join(u))]
+    spam = "x " * 3000  # outweighs the rest, so that the fingerprints are equal: the check tells them apart
+    other = [(100 + k, spam + " ".join(f"v{i}" for i in rng.integers(0, 5000, 200))) for k in range(3)]
+    assert len({fingerprint(t) for _, t in other}) == 1
+    kept = {r["doc_id"] for r in simhash_dedup.drop_near_duplicates(spark.createDataFrame(docs + other, "doc_id long, text string")).collect()}
+    assert all(five < 0.8 <= three for five, three in alike)
+    assert kept == {2 * k for k in range(6)} | {100, 101, 102}
+
+
 def test_bucket_members_that_fail_with_the_head_are_compared(spark):
     rng = np.random.default_rng(10)
     shared = [f"s{k}" for k in range(300)]  # all share this; two by two they share more
