@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.benchmark_decontamination import drop_contaminated
-from sluice.llm.common import SPACE, forget, read, shared_folder
+from sluice.llm.common import SPACE, forget, read, shared_folder, swept
 from sluice.llm.line_dedup import PASSAGE_WORDS, dedup_lines
 from sluice.llm.packing import pack
 from sluice.llm.simhash_dedup import drop_near_duplicates
@@ -29,11 +29,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates: SimHash's groups, verified, and those by bands of minima that it can't find."""
+    swept(spark)
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents in which a window of the benchmark occurs."""
+    swept(spark)
     return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 

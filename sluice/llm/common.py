@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -47,6 +48,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark delete shuffles and checkpoints that nothing refers to; by itself it does when the driver's memory runs short, and disks may be full by then."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """df, written to the shared folder as a table of columns and read again, and where it stands."""
     at = f"{shared_folder(df.sparkSession)}/sluice-{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluice.llm.common import apart, bounded_batches, checkpointed, groups, read
+from sluice.llm.common import apart, bounded_batches, checkpointed, groups, read, swept
 from sluice.llm.components import connected_components
 
 #: SimHash is of shingles of so many words.
@@ -267,9 +267,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prints = sets.select("node", "size", "fp").distinct()
     by_simhash = prints.join(fingerprint_components(checkpointed(prints.select("fp").distinct())), "fp").select("node", "size", F.lit(SHINGLE).alias("shingle"), F.col("root").alias("key")).distinct()
     bucket = ["shingle", "key"]
-    each = by_simhash.unionByName(by_bands)
+    each = by_simhash.unionByName(by_bands).repartition(*bucket)  # one shuffle, which heads and members read
     heads = each.groupBy(*bucket).agg(F.min(F.struct("node", "size")).alias("head"), F.count("*").alias("n")).filter("n > 1")
     members = checkpointed(each.join(heads, bucket).select(*bucket, "node", "size", "head"))
+    swept(docs.sparkSession)
     # by five-word shingles the sizes alone tell some apart; a set of three-word shingles has another size
     close = lambda x, y: (F.col("shingle") != shingle) | (F.least(x, y) >= F.lit(similarity) * F.greatest(x, y))
     stars = checkpointed(members.filter("node <> head.node").filter(close(F.col("size"), F.col("head.size"))).select(F.col("node").alias("a"), F.col("head.node").alias("b"), "shingle").distinct())
@@ -278,11 +279,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = docs.select(F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("t")).join(wanted, "th").groupBy("node").agg(F.min("t").alias("t"))
     texts = checkpointed(texts)
     links = checkpointed(similar(stars, texts, similarity))
+    swept(docs.sparkSession)
     found = connected_components(links)
     grouped = members.join(found, "node", "left").select(*bucket, "node", "size", F.coalesce("root", "node").alias("root"))
     mixed = grouped.groupBy(*bucket).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("size").alias("sum")).filter("low <> high")
     mixed = checkpointed(grouped.join(mixed.select(*bucket, F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("sum") / BLOCK_SHINGLES)).cast("int").alias("blocks")), bucket))
+    swept(docs.sparkSession)
     found = connected_components(links.unionByName(links_in_buckets(mixed, texts, similarity)))
+    swept(docs.sparkSession)
     labelled = fps.join(found, "node", "left").select("doc_id", "th", "copies", F.coalesce("root", "node").alias("root"))
     labelled = checkpointed(labelled)
     stays = labelled.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("s")).select("s.*")

@@ -502,6 +502,15 @@ def test_components_of_chains_and_stars(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_links_equal_those_of_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    links = [(int(a), int(b)) for a, b in rng.integers(-400, 400, (500, 2))] + [(1000 + k, 1001 + k) for k in range(200)] + [(-(2**63), 2**63 - 1), (7, 7)]
+    df = spark.createDataFrame(links, "a long, b long")
+    few = {tuple(r) for r in components.connected_components(df).collect()}
+    monkeypatch.setattr(components, "FEW_LINKS", 0)
+    assert few == {tuple(r) for r in components.connected_components(df).collect()}
+
+
 def test_near_duplicates_leave_one_of_each_group(spark):
     rng = np.random.default_rng(8)
     pool = [f"w{k}" for k in range(3000)]
