@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -24,6 +23,8 @@ TWO, THREE, ORDER = 1000.0, 5.0, 4
 BITS, HASHES, LEVELS = 12, 4, 48
 #: Training tokens to a block of the filter, and to a task's table of n-grams.
 BLOCK_TOKENS, TABLE_TOKENS = 1 << 21, 1 << 21
+#: n-grams, or letters, that a worker turns into hashes, bits or varints at once; its arrays in between are no longer than that.
+STEP = 1 << 18
 #: Bytes of the filter that are broadcast at once; a larger one is probed in several passes over the texts.
 BROADCAST_BYTES = 256 << 20
 #: Levels of a count in an octave, where the list of words may end.
@@ -91,14 +92,18 @@ class LogFrequencyFilter:
 
     @staticmethod
     def build_block(rest: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        levels = np.frexp(counts.astype(np.float64))[1]  # 1 + floor(log2)
-        size = max(64, -(-int(levels.sum()) * BITS // 64) * 64)
+        levels = np.empty(len(counts), np.uint8)
+        for a in range(0, len(counts), STEP):
+            levels[a : a + STEP] = np.frexp(counts[a : a + STEP].astype(np.float64))[1]  # 1 + floor(log2)
+        size = max(64, -(-int(levels.sum(dtype=np.int64)) * BITS // 64) * 64)
         bits = np.zeros(size, bool)
-        for level in range(1, int(levels.max(initial=0)) + 1):
-            h = LogFrequencyFilter.hashed(rest[levels >= level], level)
-            word = ((h >> np.uint64(32)) * np.uint64(size // 64) >> np.uint64(32)) << np.uint64(6)
-            for place in LogFrequencyFilter.places(h):
-                bits[(word | place).astype(np.int64)] = True
+        for a in range(0, len(rest), STEP):
+            of, keys = levels[a : a + STEP], rest[a : a + STEP]
+            for level in range(1, int(of.max()) + 1):
+                h = LogFrequencyFilter.hashed(keys[of >= level], level)
+                word = ((h >> np.uint64(32)) * np.uint64(size // 64) >> np.uint64(32)) << np.uint64(6)
+                for place in LogFrequencyFilter.places(h):
+                    bits[(word | place).astype(np.int64)] = True
         return np.packbits(bits, bitorder="little")
 
     def levels(self, keys: np.ndarray, step: int = 1 << 15) -> np.ndarray:
@@ -244,14 +249,14 @@ def count_ngrams(train: DataFrame, blocks: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[bytes, int] = {}
-        held: list[np.ndarray] = []
-        size = 0
+        table, size = np.empty(2 * TABLE_TOKENS, np.uint64), 0
 
-        def out() -> pa.RecordBatch:
-            keys = np.sort(_placed(np.concatenate(held), blocks))
-            held.clear()
-            heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            return _rows(keys[heads], np.diff(heads, append=len(keys)))
+        def out() -> Iterator[pa.RecordBatch]:
+            table[:size].sort()
+            for a in range(0, size, STEP):  # a key on both sides of a cut is in both rows, which build_filter sums
+                keys = table[a : min(a + STEP, size)]
+                heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+                yield _rows(keys[heads], np.diff(heads, append=len(keys)))
 
         for b in (x for batch in batches for x in parts(batch, 0)):
             flat = [w for t in b.column(0).to_pylist() for w in words_of(t)]
@@ -261,13 +266,15 @@ def count_ngrams(train: DataFrame, blocks: int) -> DataFrame:
             if len(number) > 400_000:
                 number.clear()
             u, t = before(h)
-            held += [pairs(u, h), triples(t, u, h)]
-            size += len(h)
-            if size >= TABLE_TOKENS:
-                yield out()
-                size = 0
-        if held:
-            yield out()
+            for keys in (pairs(u, h), triples(t, u, h)):
+                while len(keys):  # a long text may fill several tables
+                    now = keys[: len(table) - size]
+                    table[size : size + len(now)] = _placed(now, blocks)
+                    keys, size = keys[len(now) :], size + len(now)
+                    if size == len(table):
+                        yield from out()
+                        size = 0
+        yield from out()
 
     return train.select("t").mapInArrow(run, "block int, keys binary, counts binary")
 
@@ -288,7 +295,15 @@ def _letters(counts: DataFrame) -> DataFrame:
     """(kind, code, n) of the letters of all words in counts(word), each distinct word once, as a rare word is spelled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros(LETTERS**k, np.int64) for k in range(1, ORDER + 1)]
+        held: list[np.ndarray] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            code = np.concatenate(held) if held else np.zeros(0, np.int64)
+            held.clear()
+            for k in range(1, ORDER + 1):
+                at, t = np.unique(code % LETTERS**k, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), SPELL + k, np.int32)), pa.array(at), pa.array(t)], ["kind", "code", "n"])
+
         for b in batches:
             words = b.column(0).to_pylist()
             raw = np.frombuffer(b"".join(w + bytes([_MARK]) for w in words), np.uint8)
@@ -298,12 +313,12 @@ def _letters(counts: DataFrame) -> DataFrame:
             size = np.bincount(own)
             since = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
             code = x.copy()
-            for k in range(1, ORDER + 1):
-                total[k - 1] += np.bincount(code, minlength=LETTERS**k)
-                code = code + np.where(since >= k, np.roll(x, k), 0) * LETTERS**k
-        for k, t in enumerate(total, 1):
-            at = np.flatnonzero(t)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), SPELL + k, np.int32)), pa.array(at), pa.array(t[at])], ["kind", "code", "n"])
+            for k in range(1, ORDER):
+                code += np.where(since >= k, np.roll(x, k), 0) * LETTERS**k
+            held.append(code)
+            if sum(map(len, held)) >= STEP:
+                yield from out()
+        yield from out()
 
     return counts.select("word").mapInArrow(run, "kind int, code bigint, n bigint").groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
@@ -328,12 +343,17 @@ def build_filter(ngrams: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, 1):
-            keys = np.concatenate([np.cumsum(from_varints(x), dtype=np.uint64) for x in t["keys"].to_pylist()])
-            counts = np.concatenate([from_varints(x) for x in t["counts"].to_pylist()]).astype(np.int64)
+            keys = np.concatenate([np.cumsum(from_varints(x.as_py()), dtype=np.uint64) for x in t["keys"]])
+            counts = np.concatenate([from_varints(x.as_py()) for x in t["counts"]]).view(np.int64)
             by = np.argsort(keys, kind="stable")
-            keys, counts = keys[by], counts[by]
+            keys = keys[by]
+            counts = counts[by]
+            del by
             heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            bits = LogFrequencyFilter.build_block(keys[heads], np.add.reduceat(counts, heads))
+            counts = np.add.reduceat(counts, heads)
+            keys = keys[heads]
+            del heads
+            bits = LogFrequencyFilter.build_block(keys, counts)
             yield pa.RecordBatch.from_arrays([t["block"].slice(0, 1).combine_chunks(), pa.array([bits.tobytes()], pa.binary())], ["block", "bits"])
 
     return ngrams.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block int, bits binary")
@@ -350,25 +370,14 @@ def filter_groups(sizes: dict[int, int], blocks: int, most: int) -> list[tuple[i
     return out
 
 
-_MODELS: dict = {}
-
-
-def _model(shared) -> Model:
-    if shared.id not in _MODELS:
-        _MODELS.clear()
-        _MODELS[shared.id] = Model(*shared.value)
-    return _MODELS[shared.id]
-
-
-class _Shared:
-    """A broadcast value with a name by which a worker keeps the model that it has built."""
+class _Packed:
+    """What a Model is made of, as it is broadcast: a worker reads a Model out of it, which goes when Spark removes the broadcast."""
 
-    def __init__(self, broadcast, name: str):
-        self.broadcast, self.id = broadcast, name
+    def __init__(self, *made_of):
+        self.made_of = made_of
 
-    @property
-    def value(self):
-        return self.broadcast.value
+    def __reduce__(self):
+        return Model, self.made_of
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -406,7 +415,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     blocks = max(64, 1 << max(0, -(-n // BLOCK_TOKENS) - 1).bit_length())
     whole, at = written(build_filter(count_ngrams(train, blocks).unionByName(count_singles(counts, blocks))))
     sizes = {r[0]: r[1] for r in whole.select("block", F.octet_length("bits")).collect()}  # a number for each block
-    shared = _Shared(spark.sparkContext.broadcast((words, exact, letter_table(_letters(counts)), n, max(1, others), once)), uuid.uuid4().hex)
+    shared = spark.sparkContext.broadcast(_Packed(words, exact, letter_table(_letters(counts)), n, max(1, others), once))
 
     def part(first: int, size: list[int]):
         """The filter's blocks from first on, of at most broadcast_bytes or one block's, for the workers."""
@@ -443,7 +452,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def look_up(shared_part):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model, part = _model(shared), LogFrequencyFilter(*shared_part.value)
+            model, part = shared.value, LogFrequencyFilter(*shared_part.value)
             for b in (x for batch in batches for x in parts(batch, 3)):
                 size, _, far, _, _, h = read_batch(b, model)
                 level, ends = probed(b, size, far, h, part), np.cumsum(size)
@@ -453,7 +462,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return run
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part = _model(shared), LogFrequencyFilter(*last.value)
+        model, part = shared.value, LogFrequencyFilter(*last.value)
         base = np.log10((np.append(model.exact, 0) + 1) / (n + v + 1))
         seen = np.append(model.exact > 0, False)
         for b in (x for batch in batches for x in parts(batch, 3)):

@@ -4,10 +4,12 @@ import hashlib
 import itertools
 import math
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm import benchmark_decontamination as decon
 from sluice.llm import components, line_dedup, lm_scoring, packing, simhash_dedup, toxicity
+from sluice.llm.common import from_varints
 
 DOC = "doc_id long, text string, score double, n_words long, row_id string"
 ODD = [(None, "no id at all", 0.5, 1, "x"), (1, None, 0.5, 1, "x"), (2, "", 0.5, 1, "x"), (3, " \n\t", 0.5, 1, "x"), (4, "word", 0.5, 1, "x"), (4, "word", 0.5, 1, "x"), (5, "a b\nc d\na b\nc d " * 3000, 0.5, 1, "x"), (6, "é 𝒳 ß\u0000z", 0.5, 1, "x")]
@@ -392,6 +395,72 @@ def test_filter_never_loses_a_count():
     assert (np.maximum(half[0].levels(keys), half[1].levels(keys)) == got).all()
 
 
+class Ran:
+    """In a table's place: keeps the function that would run on its batches."""
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        self.run = run
+        return self
+
+    def select(self, *columns):
+        return self
+
+    groupBy = agg = repartition = sortWithinPartitions = unionByName = select  # noqa: N815
+
+    def of(self, batches):
+        """What it gives, in mappings from columns to lists, and the most MB that it held meanwhile, as rows are passed on."""
+        tracemalloc.start()
+        out = []
+        for x in self.run(iter(batches)):
+            out.append(x)
+        most = tracemalloc.get_traced_memory()[1] / (1 << 20)
+        tracemalloc.stop()
+        return pa.Table.from_batches(out).to_pydict(), most
+
+
+def test_workers_of_the_model_hold_little(monkeypatch):
+    rng, blocks = np.random.default_rng(3), 64
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 150_000)) for _ in range(8)]  # 1.2 million words, so 2.4 million n-grams
+    monkeypatch.setattr(lm_scoring, "STEP", 1 << 16)
+    got, most = lm_scoring.count_ngrams(Ran(), blocks).of([pa.RecordBatch.from_arrays([pa.array([t.encode()])], ["t"]) for t in texts])
+    assert most < 90, most  # 257 when a whole table was sorted and written out at once
+    c: Counter = Counter()
+    for t in texts:
+        h = np.array([lm_scoring._hash(w) for w in lm_scoring.words_of(t.encode())], np.uint64)
+        u, v = lm_scoring.before(h)
+        c.update(np.concatenate([lm_scoring.pairs(u, h), lm_scoring.triples(v, u, h)]).tolist())
+    true = Counter()
+    for b, k, n in zip(got["block"], got["keys"], got["counts"]):
+        for key, x in zip(np.cumsum(from_varints(k), dtype=np.uint64).tolist(), from_varints(n).tolist()):
+            true[b << 40 | key] += x
+    keys, counts = np.array(list(c), np.uint64), np.array(list(c.values()))
+    assert true == Counter(dict(zip(lm_scoring._placed(keys, blocks).tolist(), counts.tolist())))
+    tracemalloc.start()
+    bits = lm_scoring.LogFrequencyFilter.build_block(keys & lm_scoring._REST, counts)
+    most = tracemalloc.get_traced_memory()[1] / (1 << 20)
+    tracemalloc.stop()
+    assert most < 60, most
+    f = lm_scoring.LogFrequencyFilter(bits, [len(bits)], 1)
+    assert (f.levels(keys) >= 1 + np.floor(np.log2(counts))).all()
+
+
+def test_letters_of_all_words_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "STEP", 1 << 10)
+    words = [f"{'ab,é9'[k % 5]}w{k}".encode() for k in range(3000)]
+    got, most = lm_scoring._letters(Ran()).of([pa.RecordBatch.from_arrays([pa.array(words[a : a + 500])], ["word"]) for a in range(0, 3000, 500)])
+    assert most < 20, most  # a table of all codes alone takes 42
+    want: Counter = Counter()
+    for w in words:
+        x = [0] * lm_scoring.ORDER + [int(lm_scoring._LETTER[b]) for b in w] + [0]
+        for i in range(lm_scoring.ORDER, len(x)):
+            for k in range(1, lm_scoring.ORDER + 1):
+                want[lm_scoring.SPELL + k, sum(x[i - j] * lm_scoring.LETTERS**j for j in range(k))] += 1
+    true: Counter = Counter()
+    for kind, code, n in zip(got["kind"], got["code"], got["n"]):
+        true[kind, code] += n
+    assert true == want
+
+
 def test_scores_equal_brute_force(spark):
     rng = np.random.default_rng(12)
     docs = [(k, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, rng.integers(0, 60)) % 500)) for k in range(150)]
