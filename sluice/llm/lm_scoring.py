@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -370,6 +371,14 @@ def filter_groups(sizes: dict[int, int], blocks: int, most: int) -> list[tuple[i
     return out
 
 
+def released() -> None:
+    """Gives back to the system what this worker's earlier tasks have freed and its allocators keep, before something large is read."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
 class _Packed:
     """What a Model is made of, as it is broadcast: a worker reads a Model out of it, which goes when Spark removes the broadcast."""
 
@@ -452,6 +461,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def look_up(shared_part):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            released()
             model, part = shared.value, LogFrequencyFilter(*shared_part.value)
             for b in (x for batch in batches for x in parts(batch, 3)):
                 size, _, far, _, _, h = read_batch(b, model)
@@ -462,6 +472,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return run
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         model, part = shared.value, LogFrequencyFilter(*last.value)
         base = np.log10((np.append(model.exact, 0) + 1) / (n + v + 1))
         seen = np.append(model.exact > 0, False)

@@ -7,6 +7,7 @@ import struct
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -461,6 +462,15 @@ def test_letters_of_all_words_are_counted(spark, monkeypatch):
     assert true == want
 
 
+def test_freed_memory_goes_back_before_scoring():
+    resident = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096 >> 20
+    held = [bytearray(b"x") * (1 << 16) for _ in range(1024)]
+    full, last = resident(), held.pop()  # what was taken last keeps the heap from shrinking by itself
+    del held
+    lm_scoring.released()
+    assert resident() < full - 40 and len(last) == 1 << 16
+
+
 def test_scores_equal_brute_force(spark):
     rng = np.random.default_rng(12)
     docs = [(k, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, rng.integers(0, 60)) % 500)) for k in range(150)]
