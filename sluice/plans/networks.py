@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluice.operators.network import FlowNetwork
+from sluice.operators.network import FlowNetwork, spread
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,10 +44,11 @@ def supply_network(spark: SparkSession, sf_dir: str) -> FlowNetwork:
     """One network: suppliers (even nodes) and parts (odd nodes), an arc for each pair that trades.
 
     Suppliers with a good balance and cheap parts are sources, the others sinks. The ids of nodes have gaps.
+    Few items share a pair, so they are dealt by it as they are: a sum before the shuffle would hold a whole split.
     """
-    item = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", "l_quantity")
+    item = read(spark, sf_dir, "lineitem").select((F.col("l_suppkey") * 2).cast("long").alias("src"), (F.col("l_partkey") * 2 + 1).cast("long").alias("dst"), "l_quantity")
     supplier, part = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "part")
-    arcs = item.groupBy((F.col("l_suppkey") * 2).cast("long").alias("src"), (F.col("l_partkey") * 2 + 1).cast("long").alias("dst")).agg(F.expr("cast(sum(l_quantity) as bigint) div 10").alias("cap"), F.count("*").alias("rcap"))
+    arcs = spread(item, "src", "dst").groupBy("src", "dst").agg(F.expr("cast(sum(l_quantity) as bigint) div 10").alias("cap"), F.count("*").alias("rcap"))
     s = supplier.select((F.col("s_suppkey") * 2).cast("long").alias("node"), F.floor((F.col("s_acctbal") - 4500) / 10).cast("long").alias("tcap"))
     p = part.select((F.col("p_partkey") * 2 + 1).cast("long").alias("node"), (950 - F.floor("p_retailprice")).cast("long").alias("tcap"))
     return FlowNetwork(arcs, s.unionByName(p))
