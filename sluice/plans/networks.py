@@ -54,6 +54,13 @@ def supply_network(spark: SparkSession, sf_dir: str) -> FlowNetwork:
     return FlowNetwork(arcs, s.unionByName(p))
 
 
+def supply_nodes(spark: SparkSession, sf_dir: str, terminals: DataFrame) -> int:
+    """The largest id of a node in the supply network, and 1; an item without a supplier or a part is no arc."""
+    item = read(spark, sf_dir, "lineitem").filter("l_suppkey IS NOT NULL AND l_partkey IS NOT NULL").agg(F.max(F.greatest(F.col("l_suppkey") * 2, F.col("l_partkey") * 2 + 1)).cast("long").alias("m"))
+    most = item.unionByName(terminals.agg(F.max("node").alias("m"))).agg(F.max("m")).first()[0]
+    return 0 if most is None else most + 1
+
+
 def raw_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed arcs with parallel, opposite and looping ones: (src, dst, cap) from line items over 997 nodes."""
     return read(spark, sf_dir, "lineitem").select(F.expr("l_suppkey % 997").cast("long").alias("src"), F.expr("(l_partkey * 31 + l_linenumber) % 997").cast("long").alias("dst"), F.col("l_quantity").cast("long").alias("cap"))

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice import FlowNetwork
-from sluice.operators import network
+from sluice.operators import decompose, network
+from sluice.operators.partition import partition
+from sluice.plans import catalog
 from sluice.plans.networks import supply_network
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +41,23 @@ def test_bfs_holds_no_sum_over_links(spark, net, monkeypatch):
     monkeypatch.setattr(network, "cut_lineage", lambda df, real=network.cut_lineage: (seen.append(plan(df)), real(df))[1])
     assert rows(network.bfs(net.arcs, spark.createDataFrame([(0,)], "node long"), 2)) == [(0, 0), (5, 1)]
     assert "Aggregate" not in seen[0]
+
+
+def test_package_pieces_hold_what_packages_hold_in_no_array(spark):
+    net = FlowNetwork(supply_network(spark, SF).canonical().arcs, supply_network(spark, SF).terminals)
+    part = partition(net, 4, "contiguous")
+    got, packs = decompose.pieces(net, part), decompose.packages(net, part).collect()
+    assert sorted((r["partition_id"], r["local_node_count"], len(r["arcs"]) // 2, len(r["constraint_endpoints"]), sum(r["arc_capacities"]), sum(r["terminal_capacities"])) for r in packs) == rows(decompose.summary(got))
+    assert not decompose.piece_violations(got).collect()
+    for name in ("package_summary", "package_checks"):
+        text = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in text, name
+
+
+def test_broken_pieces_are_found(spark):
+    nodes = spark.createDataFrame([(0, 7, 0, 1), (0, 8, 2, 1), (-1, 9, 0, None)], "p int, node long, local_index int, tcap long")
+    arcs = spark.createDataFrame([(0, 7, 8, 0, 2, 1, 1), (0, 7, 9, 0, None, 1, 1), (-1, 9, 9, 0, 0, None, 1)], "p int, src long, dst long, a int, b int, cap long, rcap long")
+    ends = spark.createDataFrame([(0, -1, 7, 0, True), (5, 1, 7, 0, True)], "p int, constraint_id long, node long, local_index int, is_source boolean")
+    assert rows(decompose.piece_violations(decompose.Pieces(nodes, arcs, ends))) == [
+        (-1, "capacities don't match arcs"), (-1, "negative partition id"), (-1, "terminals don't match nodes"),
+        (0, "arc end out of range"), (0, "negative constraint id"), (0, "node map is neither empty nor full"), (5, "constraint end out of range")]
