@@ -2,29 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from sluice.functions.columns import is_terminal_arc, remap_index
-from sluice.operators.network import FlowNetwork, canonical_arcs, merge_arcs, net_terminals
+from sluice.operators.network import FlowNetwork, canonical_arcs, cut_lineage, net_terminals
 
 MODES = ("general", "directed", "symmetric")
 
 
+def _blocks_of(spark: SparkSession, path: str) -> DataFrame:
+    """(f, b, m, value): lines with their file, the start of their block in it, and a number that rises by 1 inside a block."""
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"), "value")
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(kind, tokens, line) of the lines that aren't comments, line being the place in the file.
+    """(kind, tokens, line, block) of the lines that aren't comments, line being the place in the file.
 
-    Lines are numbered inside each block of the file, and a block is shifted by the lines before it,
-    so nothing but a count for each block is gathered.
+    A task reads a block from its start to its end, so a line's place is that of its block and what it is behind the
+    block's first line: lines are numbered where they are read, and only a count for each block is gathered.
     """
-    raw = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("tokens"), F.substring("value", 1, 1).alias("kind"), F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"))
-    raw = raw.withColumn("m", F.monotonically_increasing_id())
-    counts = raw.groupBy("f", "b").agg(F.count("*").alias("n"))
-    before = counts.select("f", "b", (F.sum("n").over(W.orderBy("f", "b").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    out = raw.withColumn("i", F.row_number().over(W.partitionBy("f", "b").orderBy("m")) - 1).join(before, ["f", "b"])
-    return out.filter(F.col("kind").isin("p", "n", "a")).select("kind", "tokens", (F.col("before") + F.col("i")).cast("long").alias("line"))
+    raw = _blocks_of(spark, path)
+    told = raw.groupBy("f", "b").agg(F.count("*").alias("n"), F.min("m").alias("first")).orderBy("f", "b").collect()
+    rows, before = [], 0
+    for k, r in enumerate(told):
+        rows.append((r["f"], r["b"], r["first"], before, k))
+        before += r["n"]
+    at = spark.createDataFrame(rows, "f string, b long, first long, before long, block int")
+    kind = F.substring("value", 1, 1)
+    out = raw.filter(kind.isin("p", "n", "a")).join(F.broadcast(at), ["f", "b"], "left")
+    known = lambda c: F.coalesce(F.col(c), F.raise_error(F.lit("the file's blocks have changed while it was read")).cast("long"))
+    return out.select(kind.alias("kind"), F.split(F.trim("value"), r"\s+").alias("tokens"), (known("before") + F.col("m") - F.col("first")).cast("long").alias("line"), "block")
 
 
 def read_dimacs(spark: SparkSession, path: str, mode: str = "general") -> FlowNetwork:
@@ -49,52 +62,108 @@ def read_dimacs(spark: SparkSession, path: str, mode: str = "general") -> FlowNe
         raise ValueError("the file names no source or no sink")
     (source, at_s), (sink, at_t) = ends["s"], ends["t"]
     number = lambda k: F.get("tokens", F.lit(k)).cast("long")
-    arcs = every.filter("kind = 'a'").select("line", number(1).alias("u"), number(2).alias("v"), number(3).alias("cap"))
-    bad = arcs.agg(F.count_if(F.col("line") < max(at_s, at_t)).alias("early"), F.count_if((F.col("v") == source) | (F.col("u") == sink)).alias("wrong"), F.count_if(F.col("u").isNull() | F.col("v").isNull() | F.col("cap").isNull()).alias("short"), F.coalesce(F.sum(F.when((F.col("u") == source) & (F.col("v") == sink), F.col("cap"))), F.lit(0)).alias("direct")).first()
+    arcs = every.filter("kind = 'a'").select("line", "block", number(1).alias("u"), number(2).alias("v"), number(3).alias("cap"))
+    at_end = is_terminal_arc("u", "v", source, sink)
+    told = arcs.groupBy("block").agg(F.count_if(F.col("line") < max(at_s, at_t)).alias("early"), F.count_if((F.col("v") == source) | (F.col("u") == sink)).alias("wrong"), F.count_if(F.col("u").isNull() | F.col("v").isNull() | F.col("cap").isNull()).alias("short"), F.coalesce(F.sum(F.when((F.col("u") == source) & (F.col("v") == sink), F.col("cap"))), F.lit(0)).alias("direct"), F.count("*").alias("arcs"), F.count_if(~at_end).alias("inner")).orderBy("block").collect()
+    bad = {k: sum(r[k] for r in told) for k in ("early", "wrong", "short", "direct")}
     if bad["early"] or bad["short"]:
         raise ValueError("an arc stands before the terminals" if bad["early"] else "an arc lacks a number")
     if bad["wrong"]:
         raise ValueError(f"{bad['wrong']} arcs go into the source or out of the sink")
-    at_end = is_terminal_arc("u", "v", source, sink)
     inner = arcs.filter(~at_end).select("line", remap_index("u", source, sink).alias("src"), remap_index("v", source, sink).alias("dst"), "cap")
     outer = arcs.filter(at_end & ~((F.col("u") == source) & (F.col("v") == sink)))
-    terms = net_terminals(outer.select(remap_index(F.when(F.col("u") == source, F.col("v")).otherwise(F.col("u")), source, sink).alias("node"), (F.col("u") == source).alias("from_source"), "cap"))
+    terms = cut_lineage(net_terminals(outer.select(remap_index(F.when(F.col("u") == source, F.col("v")).otherwise(F.col("u")), source, sink).alias("node"), (F.col("u") == source).alias("from_source"), "cap")))  # asked for twice, a row for each node
     offset = bad["direct"] + terms.agg(F.coalesce(F.sum("imbalance"), F.lit(0))).first()[0]
     terms = terms.select("node", "tcap")
     if mode == "general":
-        return FlowNetwork(canonical_arcs(merge_arcs(inner)), terms, offset)
+        return FlowNetwork(canonical_arcs(inner), terms, offset)
     if mode == "directed":
         return FlowNetwork(inner.select("line", "src", "dst", "cap", F.lit(0).cast("long").alias("rcap")), terms, offset)
     declared = next((int(r["tokens"][2]) for r in heads if r["kind"] == "p"), None)
     if declared is None:
         raise ValueError("the file has no problem line")
-    return FlowNetwork(_pairs(arcs, inner, at_end), terms, offset, declared - 2)
+    ends = arcs.select("block", "line", remap_index("u", source, sink).alias("src"), remap_index("v", source, sink).alias("dst"), "cap", (~at_end).alias("inner"))
+    return FlowNetwork(_pairs(ends, [(r["block"], r["arcs"], r["inner"]) for r in told]), terms, offset, declared - 2)
+
 
+PAIRS = "pair long, half int, line long, src long, dst long, cap long, rcap long, place long, bad long"
 
-def _pairs(arcs: DataFrame, inner: DataFrame, at_end) -> DataFrame:
-    """Adjacent opposite arcs as one; the k-th inner arc belongs to pair k div 2, numbered by blocks of lines."""
-    from sluice.operators.decompose import STRIDE, numbered
 
-    k = numbered(inner.withColumn("_b", F.expr(f"line div {STRIDE}")), "_b", ["line"], "k").withColumn("pair", F.expr("k div 2"))
-    one = k.groupBy("pair").agg(F.min_by(F.struct("src", "dst", "cap"), "k").alias("x"), F.max_by(F.struct("src", "dst", "cap"), "k").alias("y"), F.count("*").alias("n"), F.min("line").alias("line"), F.max("line").alias("last"))
-    between = arcs.filter(at_end).select(F.col("line").alias("t"))
-    wrong = one.agg(F.count_if((F.col("n") != 2) | (F.col("x.src") != F.col("y.dst")) | (F.col("x.dst") != F.col("y.src"))).alias("w")).first()["w"]
-    apart = one.filter(F.col("last") > F.col("line") + 1)
-    split = apart.select(F.explode(F.sequence(F.col("line") + 1, F.col("last") - 1)).alias("t")).join(between, "t", "left_semi").count()
-    if wrong or split:
-        raise ValueError(f"{wrong + split} arcs don't stand in adjacent opposite pairs")
-    return one.select("line", "x.src", "x.dst", F.col("x.cap").alias("cap"), F.col("y.cap").alias("rcap"))
+def _pairs(arcs: DataFrame, blocks: list[tuple[int, int, int]]) -> DataFrame:
+    """Adjacent opposite arcs as one; the k-th inner arc belongs to pair k div 2.
+
+    blocks tells how many arcs and inner arcs a block has, so a task knows k from its block's first line on and
+    joins its arcs as it reads them. Only an arc at a block's edge, whose other half is in another block, is shuffled.
+    """
+    before, arcs_before, inner_before = {}, 0, 0
+    for block, n, k in blocks:
+        before[block] = arcs_before, inner_before
+        arcs_before, inner_before = arcs_before + n, inner_before + k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, at, k, held = None, 0, 0, None  # held is the first half of a pair, with its place among the arcs
+
+        def half(kind: int, k: int, row) -> pa.RecordBatch:
+            line, src, dst, cap, place = row
+            return _table([k // 2], [kind], [line], [src], [dst], [cap], [0], [place], [0])
+
+        for b in batches:
+            of, line, src, dst, cap = (b.column(c).to_numpy() for c in range(5))
+            inner = b.column(5).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)] if len(of) else [0]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if of[lo] != block:
+                    if held is not None:
+                        yield half(0, k - 1, held)
+                    block, held = of[lo], None
+                    at, k = before[int(block)]
+                place = at + np.arange(hi - lo)
+                at += hi - lo
+                on = inner[lo:hi]
+                rows = np.stack([line[lo:hi][on], src[lo:hi][on], dst[lo:hi][on], cap[lo:hi][on], place[on]], axis=1)
+                first, k = k, k + len(rows)
+                if held is not None:
+                    rows, first, held = np.concatenate([[held], rows]), first - 1, None
+                elif len(rows) and first % 2:
+                    yield half(1, first, rows[0])
+                    rows, first = rows[1:], first + 1
+                if len(rows) % 2:
+                    rows, held = rows[:-1], rows[-1]
+                if len(rows):
+                    x, y = rows[0::2], rows[1::2]
+                    wrong = ((x[:, 1] != y[:, 2]) | (x[:, 2] != y[:, 1])) + (y[:, 4] - x[:, 4] - 1)
+                    yield _table(first // 2 + np.arange(len(x)), np.full(len(x), -1), x[:, 0], x[:, 1], x[:, 2], x[:, 3], y[:, 3], x[:, 4], wrong)
+        if held is not None:
+            yield half(0, k - 1, held)
+
+    got = arcs.mapInArrow(run, PAIRS)
+    halves = got.filter("half >= 0").groupBy("pair").agg(F.min_by(F.struct("line", "src", "dst", "cap", "place"), "half").alias("x"), F.max_by(F.struct("line", "src", "dst", "cap", "place"), "half").alias("y"), F.count("*").alias("n"))
+    apart = (F.col("n") != 2) | (F.col("x.src") != F.col("y.dst")) | (F.col("x.dst") != F.col("y.src"))
+    halves = halves.select("x.line", "x.src", "x.dst", F.col("x.cap").alias("cap"), F.col("y.cap").alias("rcap"), (apart.cast("long") + F.greatest(F.col("y.place") - F.col("x.place") - 1, F.lit(0))).alias("bad"))
+    every = got.filter("half < 0").select(*halves.columns).unionByName(halves)
+    if wrong := every.agg(F.coalesce(F.sum("bad"), F.lit(0))).first()[0]:
+        raise ValueError(f"{wrong} arcs don't stand in adjacent opposite pairs")
+    return every.drop("bad")
+
+
+def _table(*columns) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 7)
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c), t) for c, t in zip(columns, kinds)], ["pair", "half", "line", "src", "dst", "cap", "rcap", "place", "bad"])
 
 
 def to_dimacs(net: FlowNetwork) -> DataFrame:
     """(value) lines of a network: nodes count from 1, then come the source and the sink."""
-    spark, n = net.arcs.sparkSession, net.node_count()
+    spark = net.arcs.sparkSession
+    # One pass over the arcs tells both how many there are and the largest node.
+    told = net.arcs.agg(F.count("*").alias("m"), F.max(F.greatest("src", "dst")).alias("most")).first()
+    also = net.terminals.agg(F.count_if(F.col("tcap") != 0).alias("m"), F.max("node").alias("most")).first()
+    n = net.n_nodes if net.n_nodes is not None else max(-1 if r["most"] is None else r["most"] for r in (told, also)) + 1
+    m = 2 * told["m"] + also["m"]
     arcs = net.arcs.select(F.inline(F.array(F.struct((F.col("src") + 1).alias("u"), (F.col("dst") + 1).alias("v"), F.col("cap").alias("c")), F.struct((F.col("dst") + 1).alias("u"), (F.col("src") + 1).alias("v"), F.col("rcap").alias("c")))))
     terms = net.terminals.filter("tcap <> 0").select(F.when(F.col("tcap") > 0, n + 1).otherwise(F.col("node") + 1).alias("u"), F.when(F.col("tcap") > 0, F.col("node") + 1).otherwise(n + 2).alias("v"), F.abs("tcap").alias("c"))
     every = arcs.unionByName(terms)
-    m = every.count()
     heads = spark.createDataFrame([(0, f"p max {n + 2} {m}"), (1, f"n {n + 1} s"), (2, f"n {n + 2} t")], "o int, value string").coalesce(1).sortWithinPartitions("o").select("value")
-    return heads.unionByName(every.select(F.format_string("a %d %d %d", "u", "v", "c").alias("value")))
+    return heads.unionByName(every.select(F.concat_ws(" ", F.lit("a"), "u", "v", "c").alias("value")))
 
 
 def write_dimacs(net: FlowNetwork, path: str) -> None:

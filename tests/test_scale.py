@@ -3,11 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sluice import FlowNetwork
+from sluice import FlowNetwork, read_dimacs, write_dimacs
 from sluice.operators import decompose, network
 from sluice.operators.partition import partition
 from sluice.plans import catalog
 from sluice.plans.networks import supply_network
+from sluice.sources import dimacs
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,3 +62,39 @@ def test_broken_pieces_are_found(spark):
     assert rows(decompose.piece_violations(decompose.Pieces(nodes, arcs, ends))) == [
         (-1, "capacities don't match arcs"), (-1, "negative partition id"), (-1, "terminals don't match nodes"),
         (0, "arc end out of range"), (0, "negative constraint id"), (0, "node map is neither empty nor full"), (5, "constraint end out of range")]
+
+
+@pytest.mark.parametrize("size", [64, 10_000])
+def test_dimacs_lines_and_pairs_without_a_shuffle_of_lines(spark, tmp_path, size):
+    """Blocks of a few lines: pairs stand across their edges."""
+    arcs = [(v, v + 1, v % 7 + 1, v % 5) for v in range(40)]
+    net = FlowNetwork(spark.createDataFrame(arcs, "src long, dst long, cap long, rcap long"), spark.createDataFrame([(v, (v * 5) % 11 - 5) for v in range(41)], "node long, tcap long"))
+    write_dimacs(net, str(tmp_path / "out"))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        for mode in ("general", "symmetric"):
+            back = read_dimacs(spark, str(tmp_path / "out"), mode)
+            assert rows(back.arcs.select("src", "dst", "cap", "rcap")) == arcs
+            assert rows(back.terminals) == [(v, t) for v, t in rows(net.terminals) if t]
+        assert plan(back.arcs).count("Window") == 0 and "RowNumber" not in plan(back.arcs)
+        at = dimacs.lines(spark, str(tmp_path / "out"))
+        assert "Window" not in plan(at) and "Aggregate" not in plan(at)
+        assert [r["line"] for r in at.select("line").orderBy("line").collect()] == list(range(len(arcs) * 2 + 3 + sum(t != 0 for _, t in rows(net.terminals))))
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
+def test_bad_pairs_across_blocks(spark, tmp_path):
+    text = "p max 5 4\nn 1 s\nn 5 t\na 2 3 7\na 1 3 1\na 3 2 11\na 3 4 2\na 4 3 5\n"
+    (tmp_path / "f.max").write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (8, 16, old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            with pytest.raises(ValueError, match="^1 arcs"):
+                read_dimacs(spark, str(tmp_path / "f.max"), "symmetric")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
