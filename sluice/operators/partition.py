@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from collections import Counter, defaultdict, deque
+import tempfile
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.columns import contiguous_part, edge_weight
-from sluice.operators.network import FlowNetwork, cut_lineage
+from sluice.operators.network import FlowNetwork, cut_lineage, spread_in_order
 
 PASSES, LAMBDA, SLACK = 3, 0.005, 0.05
 METHODS = ("contiguous", "region", "local_search", "propagation")
-#: Arcs up to which the two sequential methods, which see the whole network in one task, may be asked for.
-SEQUENTIAL_ARCS = 50_000_000
+#: Rows of a batch that the sequential methods give back.
+OUT = 1 << 16
 
 
 def contiguous(net: FlowNetwork, parts: int) -> DataFrame:
@@ -25,27 +26,69 @@ def contiguous(net: FlowNetwork, parts: int) -> DataFrame:
     return net.arcs.sparkSession.range(n).select(F.col("id").alias("node"), contiguous_part("id", n, parts).alias("part"))
 
 
-def _adjacency(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    keep = src != dst
-    src, dst, weight = src[keep], dst[keep], weight[keep]
-    at = np.empty(2 * len(src), np.int64)  # both ends of an arc in the arcs' order
-    at[0::2], at[1::2] = src, dst
-    to = np.empty_like(at)
-    to[0::2], to[1::2] = dst, src
-    order = np.argsort(at, kind="stable")
-    return np.searchsorted(at[order], np.arange(n + 1)), to[order], np.repeat(weight, 2)[order]
+class Adjacency:
+    """Neighbours and weights of every node, in the arcs' order, in a file: in memory are a few numbers for each node.
+
+    Runs of a node come in one after another; simple tells of nodes without parallel arcs, whose neighbours rise.
+    """
+
+    def __init__(self, n: int, weighted: bool):
+        self.weighted, self.rows, self.kind = weighted, 0, np.dtype(np.int32 if n < 2**31 else np.int64)
+        self.begin, self.size, self.simple = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, bool)
+        self.last = None
+        self.to, self.weight = tempfile.TemporaryFile(), tempfile.TemporaryFile()
+
+    def add(self, node: np.ndarray, to: np.ndarray, weight: np.ndarray | None) -> None:
+        if not len(node):
+            return
+        new = np.ones(len(node), bool)
+        new[1:] = node[1:] != node[:-1]
+        at = np.flatnonzero(new)
+        head, count = node[at], np.diff(at, append=len(node))
+        fresh = self.size[head] == 0
+        self.begin[head[fresh]] = self.rows + at[fresh]
+        same = ~new[1:] & (to[1:] <= to[:-1])
+        self.simple[node[1:][same]] = False
+        if self.last is not None and self.last[0] == node[0] and to[0] <= self.last[1]:
+            self.simple[node[0]] = False
+        self.size[head] += count
+        self.last, self.rows = (int(node[-1]), int(to[-1])), self.rows + len(node)
+        self.to.write(to.astype(self.kind).tobytes())
+        if self.weighted:
+            self.weight.write(weight.astype(np.float64).tobytes())
+
+    def seal(self) -> Adjacency:
+        self.to.flush()
+        self.weight.flush()
+        return self
+
+    def of(self, node: int) -> np.ndarray:
+        return np.frombuffer(os.pread(self.to.fileno(), self.kind.itemsize * int(self.size[node]), self.kind.itemsize * int(self.begin[node])), self.kind)
+
+    def weights(self, node: int) -> np.ndarray:
+        return np.frombuffer(os.pread(self.weight.fileno(), 8 * int(self.size[node]), 8 * int(self.begin[node])), np.float64)
 
 
-def grow_regions(n: int, parts: int, first: np.ndarray, to: np.ndarray, most: int) -> np.ndarray:
-    """Breadth-first regions from evenly spread seeds, one node in turn for each part that has room."""
+def grow_regions(n: int, parts: int, near: Adjacency, most: int) -> np.ndarray:
+    """Breadth-first regions from evenly spread seeds, one node in turn for each part that has room.
+
+    A node that is taken, or waits in the part's queue already, is not queued: it would be passed over when its turn comes.
+    """
     part = np.full(n, -1, np.int64)
-    size, queue = [0] * parts, [deque() for _ in range(parts)]
+    size, queue, waits = [0] * parts, [deque() for _ in range(parts)], np.zeros((parts, n), bool)
     seeds = [0] if parts == 1 else [p * (n - 1) // (parts - 1) for p in range(parts)]
 
     def take(node: int, p: int) -> None:
         part[node] = p
         size[p] += 1
-        queue[p].extend(to[first[node] : first[node + 1]].tolist())
+        if near.size[node]:
+            to = near.of(node)
+            to = to[(part[to] < 0) & ~waits[p][to]]
+            if len(to):
+                if not near.simple[node]:
+                    to = to[np.sort(np.unique(to, return_index=True)[1])]
+                waits[p][to] = True
+                queue[p].extend(to.tolist())
 
     for p, node in enumerate(seeds):
         if n and part[node] < 0:
@@ -69,37 +112,47 @@ def grow_regions(n: int, parts: int, first: np.ndarray, to: np.ndarray, most: in
     return part
 
 
-def improve(n: int, parts: int, first: np.ndarray, to: np.ndarray, weight: np.ndarray, part: np.ndarray, most: int, passes: int = PASSES) -> np.ndarray:
+def improve(n: int, parts: int, near: Adjacency, part: np.ndarray, most: int, passes: int = PASSES) -> np.ndarray:
     """Greedy moves of single nodes that lower crossing weight plus the number of boundary nodes.
 
     foreign counts each node's arcs into other parts, so what a move does to the boundary is read
-    off the mover's neighbours without visiting theirs.
+    off the mover's neighbours without visiting theirs; a node without one has nowhere to go. Sums are over arrays of a
+    node's arcs, in their order; parallel arcs are counted as one neighbour met several times.
     """
     part = part.copy()
     size = np.bincount(part, minlength=parts)
-    own = np.repeat(np.arange(n), np.diff(first))
-    foreign = np.bincount(own[part[own] != part[to]], minlength=n)
+    foreign = np.zeros(n, np.int64)
+    linked = np.flatnonzero(near.size).tolist()
+    for v in linked:
+        foreign[v] = np.count_nonzero(part[near.of(v)] != part[v])
     for _ in range(passes):
         moves = 0
-        for v in range(n):
-            nb, w = to[first[v] : first[v + 1]].tolist(), weight[first[v] : first[v + 1]].tolist()
-            links, load, here = Counter(nb), defaultdict(float), int(part[v])
-            arcs_to = Counter()
-            for u, x in zip(nb, w):
-                load[int(part[u])] += x
-                arcs_to[int(part[u])] += 1
+        for v in linked:
+            if not foreign[v]:
+                continue
+            nb, here = near.of(v), int(part[v])
+            at = part[nb]
+            arcs_to, load = np.bincount(at, minlength=parts), np.bincount(at, near.weights(v), parts)
+            if near.simple[v]:
+                links, times, where, loose = nb, 1, at, foreign[nb]
+            else:
+                links, times = np.unique(nb, return_counts=True)
+                where, loose = part[links], foreign[links]
+            lost = int(np.count_nonzero((where == here) & (loose == 0)))
+            gained = np.bincount(where[loose == times], minlength=parts)
             best, gain = here, 0.0
-            lost = sum(1 for u in links if part[u] == here and foreign[u] == 0)
-            for p in arcs_to:
-                if p == here or size[p] >= most:
+            for p in range(parts):
+                if p == here or not arcs_to[p] or size[p] >= most:
                     continue
-                delta = load[here] - load[p] + int(len(nb) > arcs_to[p]) - int(foreign[v] > 0) + lost
-                delta -= sum(1 for u, k in links.items() if part[u] == p and foreign[u] == k)
+                delta = load[here] - load[p] + int(len(nb) > arcs_to[p]) - 1 + lost
+                delta -= int(gained[p])
                 if delta < gain:
                     best, gain = p, delta
+                elif best != here and delta == gain:  # of equal moves the one to the part that is met first
+                    first = [int(np.argmax(at == q)) for q in (best, p)]
+                    best = best if first[0] < first[1] else p
             if best != here:
-                for u, k in links.items():
-                    foreign[u] += k * (int(part[u] == here) - int(part[u] == best))
+                foreign[links] += times * ((where == here).astype(np.int64) - (where == best))
                 foreign[v] = len(nb) - arcs_to[best]
                 part[v] = best
                 size[here] -= 1
@@ -111,23 +164,33 @@ def improve(n: int, parts: int, first: np.ndarray, to: np.ndarray, weight: np.nd
 
 
 def _sequential(net: FlowNetwork, parts: int, method: str, passes: int, lam: float, slack: float, start: str) -> DataFrame:
-    """The two methods whose result depends on the order of nodes: one task gets all arcs, sorted, as Arrow batches."""
+    """The two methods whose result depends on the order of nodes.
+
+    Both ends of the arcs are sorted by node over all tasks; then one task streams them into a file and goes through
+    the nodes, with a few numbers for each in memory, whatever the number of arcs.
+    """
     n = net.node_count()
-    if (m := net.arcs.count()) > SEQUENTIAL_ARCS:
-        raise ValueError(f"{m} arcs are too many for one task; use propagation")
     most = max(1, int(np.ceil(-(-n // parts) * (1 + slack))))
-    arcs = net.arcs.select(F.col("src").cast("long"), F.col("dst").cast("long"), edge_weight("cap", "rcap", lam).cast("double").alias("w"))
+    weighted = method == "local_search"
+    w = (edge_weight("cap", "rcap", lam).cast("double") if weighted else F.lit(0.0)).alias("w")
+    arcs = net.arcs.filter("src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), w)
+    ends = arcs.select("src", "dst", "w", F.posexplode(F.array("src", "dst")).alias("k", "node"))
+    order = ["node", "src", "dst", "w"]
+    ends = cut_lineage(spread_in_order(ends, "node").sortWithinPartitions(*order).select("node", F.when(F.col("k") == 0, F.col("dst")).otherwise(F.col("src")).alias("to"), "w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [tuple(c.to_numpy() for c in b.columns) for b in batches]
-        src, dst, w = (np.concatenate([g[k] for g in got]) for k in range(3)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        first, to, weight = _adjacency(n, src, dst, w)
-        part = np.arange(n) // max(1, -(-n // parts)) if start == "contiguous" else grow_regions(n, parts, first, to, most)
-        if method == "local_search":
-            part = improve(n, parts, first, to, weight, part, most, passes)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(part.astype(np.int32))], ["node", "part"])
-
-    return arcs.coalesce(1).sortWithinPartitions("src", "dst", "w").mapInArrow(run, "node long, part int")
+        near = Adjacency(n, weighted)
+        for b in batches:
+            near.add(*(c.to_numpy() for c in b.columns))
+        near.seal()
+        part = np.arange(n) // max(1, -(-n // parts)) if start == "contiguous" else grow_regions(n, parts, near, most)
+        if weighted:
+            part = improve(n, parts, near, part, most, passes)
+        for at in range(0, n, OUT):
+            ids = np.arange(at, min(n, at + OUT))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(part[ids].astype(np.int32))], ["node", "part"])
+
+    return ends.coalesce(1).mapInArrow(run, "node long, part int")
 
 
 def propagate(net: FlowNetwork, parts: int, rounds: int = 4, slack: float = SLACK, lam: float = LAMBDA) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sluice import FlowNetwork, read_dimacs, write_dimacs
 from sluice.operators import decompose, network
+from sluice.operators import partition as partitions
 from sluice.operators.partition import partition
 from sluice.plans import catalog
 from sluice.plans.networks import supply_network
@@ -98,3 +99,12 @@ def test_bad_pairs_across_blocks(spark, tmp_path):
                 read_dimacs(spark, str(tmp_path / "f.max"), "symmetric")
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_sequential_methods_take_any_number_of_arcs(spark, monkeypatch):
+    """A path of 12 nodes with parallel and opposite arcs and a loop, in four regions as the plain queues give them."""
+    arcs = [(v, v + 1, 3, 1) for v in range(11)] + [(4, 3, 1, 1), (4, 3, 1, 1), (7, 7, 1, 1)]
+    long = FlowNetwork(spark.createDataFrame(arcs, "src long, dst long, cap long, rcap long"), spark.createDataFrame([(0, 1)], "node long, tcap long"), 0, 12)
+    monkeypatch.setattr(partitions, "SEQUENTIAL_ARCS", 3, raising=False)  # a limit there was
+    assert [p for _, p in rows(partition(long, 4, "region"))] == [0, 0, 1, 1, 0, 1, 2, 2, 2, 3, 3, 3]
+    assert len(rows(partition(long, 4, "local_search"))) == 12
